@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstone.llm import cdx, mixing, quality
+from turnstone.llm import bpe, cdx, mixing, pii, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_host_rules": quality.query,
         "op6_capture_index": cdx.query,
+        "op7_bpe_tokens": bpe.query,
+        "op8_pii_anchors": pii.query,
         "op9_mix_sources": mixing.query,
+        "op10_simhash_forest": simhash.query,
     }
 
 
