@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstone.llm import bpe, cdx, mixing, passages, pii, quality, simhash
+from turnstone.llm import bpe, cdx, ctw, mixing, passages, pii, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_host_rules": quality.query,
+        "op3_context_tree": ctw.query,
         "op5_compact_windows": passages.query,
         "op6_capture_index": cdx.query,
         "op7_bpe_tokens": bpe.query,
