@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstone.llm import bpe, cdx, ctw, mixing, passages, pii, quality, simhash
+from turnstone.llm import bpe, cdx, ctw, mixing, passages, pii, quality, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_host_rules": quality.query,
         "op3_context_tree": ctw.query,
+        "op4_top_k": topk.query,
         "op5_compact_windows": passages.query,
         "op6_capture_index": cdx.query,
         "op7_bpe_tokens": bpe.query,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_rules": quality.SQL, "op6_capture_index": cdx.SQL, "op9_mix_sources": mixing.SQL}
+    return {"op2_host_rules": quality.SQL, "op4_top_k": topk.SQL, "op6_capture_index": cdx.SQL, "op9_mix_sources": mixing.SQL}
