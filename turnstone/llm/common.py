@@ -39,3 +39,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there, so that a lost executor costs no recomputation of its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"

@@ -72,7 +72,7 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
 
 
 class Words:
-    """Words of a run of texts: 64-bit ``hash``, ``doc`` and byte range ``start:end`` of each; ``first[d]:first[d+1]`` are those of text d."""
+    """Words of a run of texts: 64-bit ``hash``, ``doc`` and byte range ``start:end`` of each; ``first[d]:first[d+1]`` are those of text d. ``low`` are the texts' lower-case bytes, ``raw`` their bytes."""
 
     def __init__(self, texts: pa.Array):
         data, offsets = raw(texts)
@@ -81,6 +81,7 @@ class Words:
         if n > 1:
             second = np.flatnonzero(data[:-1] == 0xC3) + 1
             low[second] = _LATIN[data[second]]
+        self.low, self.raw = low, data
         inside = low != 0
         begins = np.zeros(n + 1, bool)
         begins[offsets] = True  # a text ends the word before it
