@@ -1,0 +1 @@
+"""Sinks of the engine, as DataFrame transforms."""
