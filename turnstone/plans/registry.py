@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstone.plans import capture, speech
+from turnstone.plans import analysis, capture, speech
 
-AREAS = (capture, speech)
+AREAS = (capture, speech, analysis)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
