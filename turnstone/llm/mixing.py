@@ -45,7 +45,7 @@ def mix_sources(docs: DataFrame, *, weights: dict[str, float] | None = None, alp
     if weights is not None:
         share = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in (f"={kv[0]}", float(kv[1]))])[F.col(s)], F.lit(0.0)) if weights else F.lit(0.0)
     everything = Window.partitionBy(F.lit(0))  # one row a source
-    expected = F.floor(F.round(F.col(w) * F.lit(float(epochs)) * F.sum(size).over(everything) / F.sum(w).over(everything) / F.col(size), 6) * PARTS + F.lit(0.5))
+    expected = F.floor(F.round(F.col(w) * F.lit(float(epochs)) * F.sum(size).over(everything) / F.nullif(F.sum(w).over(everything), F.lit(0.0)) / F.nullif(F.col(size), F.lit(0.0)), 6) * PARTS + F.lit(0.5))
     sources = (
         sources.withColumn(w, F.when(F.col(size) > 0, share).otherwise(F.lit(0.0)))
         .withColumn(e, F.when(F.col(size) > 0, F.coalesce(expected, F.lit(0))).otherwise(F.lit(PARTS)).cast("bigint"))
@@ -79,7 +79,7 @@ WITH d AS (
 ), w AS (
   SELECT s, size, CASE WHEN size > 0 THEN pow(size, {ALPHA}) ELSE 0.0 END AS w FROM z
 ), e AS (
-  SELECT s, CASE WHEN size > 0 THEN CAST(floor(round(w * {EPOCHS} * sum(size) OVER () / sum(w) OVER () / size, 6) * {PARTS} + 0.5) AS BIGINT) ELSE {PARTS} END AS e,
+  SELECT s, CASE WHEN size > 0 THEN CAST(floor(round(w * {EPOCHS} * sum(size) OVER () / nullif(sum(w) OVER (), 0) / size, 6) * {PARTS} + 0.5) AS BIGINT) ELSE {PARTS} END AS e,
          CAST('0x' || substr(md5('{SEED}:' || s), 1, 8) AS BIGINT) % {PARTS} AS u
   FROM w
 ), p AS (
