@@ -11,8 +11,9 @@ down the path. A document's score is the code length of its bytes, in bits,
 each by the path of its context.
 
 The counts are those of the distinct (depth + 1)-grams. Tasks count their
-block's grams; one shuffle on the two latest context bytes brings every subtree
-below depth 2 into one task; the 256 x 255 + 255 nodes above it, a number that
+block's grams; a shuffle on the gram adds them up, and one of the distinct
+grams on the two latest context bytes brings every subtree below depth 2 into
+one task; the 256 x 255 + 255 nodes above it, a number that
 the alphabet sets and no corpus moves, are collected and sent back. Costs of
 grams go back to just the blocks that hold them, next to their documents, so
 nothing that grows with the corpus is broadcast, and each document is scored in
@@ -40,6 +41,8 @@ from turnstone.llm.textkit import raw, slices
 DEPTH = 4
 #: Grams of a subtree batch that are worked on at once, at least; a subtree is never cut.
 CHUNK = 150_000
+#: Rows that are packed by block at once.
+PACKED = 400_000
 _U = np.uint64
 _LN2 = math.log(2)
 _KNOWN = 1 << 16
@@ -163,57 +166,85 @@ def _count(depth: int):
     return run
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, block, n) in runs that hold all of their two-byte contexts; rows come sorted by key."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _chunks(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, n) in runs that hold all of their two-byte contexts; rows come sorted by key, each key once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
+        held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
         size += batch.num_rows
         if size >= CHUNK:
-            key, block, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
             prefix = key >> _U(8 * (depth - 1))
             end = int(np.searchsorted(prefix, prefix[-1], "left"))
             if end:
-                yield key[:end], block[:end], n[:end]
-            held = [(key[end:], block[end:], n[end:])]
-            size = 0 if end else size  # a context that is larger than a chunk grows on
+                yield key[:end], n[:end]
+            held = [(key[end:], n[end:])]
+            size = len(key) - end if end else 0  # a context that is larger than a chunk grows on
     if held and sum(len(h[0]) for h in held):
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, block, n), all rows of a key in this task and next to each other -> (key, n)."""
+    last: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def out(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "n"])
+
+    for batch in batches:
+        k, n = summed(np.concatenate([last[0], batch.column(0).to_numpy()]), np.concatenate([last[1], batch.column(2).to_numpy()]))
+        if len(k):
+            yield out(k[:-1], n[:-1])
+            last = (k[-1:], n[-1:])
+    yield out(*last)
+
+
 def _tops(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, _, n in _chunks(batches, depth):
-            t = Subtrees(*summed(key, n), depth).top()
+        for key, n in _chunks(batches, depth):
+            t = Subtrees(key, n, depth).top()
             yield pa.RecordBatch.from_arrays([pa.array(t[0].astype(np.int32)), pa.array(t[1].astype(np.int32)), *(pa.array(x) for x in t[2:])], names=["latest", "place", "zeros", "ones", "below"])
 
     return run
 
 
-def _cost_slices(depth: int, upper: list[np.ndarray]):
-    """Costs, packed by the blocks that asked for them."""
-
+def _costs(depth: int, upper: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, block, n in _chunks(batches, depth):
-            keys, counts = summed(key, n)
-            bits = Subtrees(keys, counts, depth).costs(keys, depth, upper).astype(np.float32)
-            order = np.argsort(block, kind="stable")
-            key, block = key[order], block[order]
-            cost = bits[np.searchsorted(keys, key)]
-            edges = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(block))
-            packs = [(key[a:b].tobytes(), cost[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            nothing = pa.nulls(len(packs), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block[edges[:-1]]), pa.array(np.zeros(len(packs), np.int32)), nothing, pa.nulls(len(packs), pa.string()), pa.array([p[0] for p in packs], pa.binary()), pa.array([p[1] for p in packs], pa.binary())],
-                names=["block", "kind", "id", "text", "keys", "costs"],
-            )
+        for key, n in _chunks(batches, depth):
+            bits = Subtrees(key, n, depth).costs(key, depth, upper).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(bits)], names=["key", "cost"])
 
     return run
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, key, cost) -> the costs of each block as bytes, one row for some ``PACKED`` rows."""
+
+    def out(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block, key, cost = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in range(3))
+        order = np.argsort(block, kind="stable")
+        block, key, cost = block[order], key[order], cost[order]
+        edges = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(block))
+        packs = [(key[a:b].tobytes(), cost[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[edges[:-1]]), pa.array(np.zeros(len(packs), np.int32)), pa.nulls(len(packs), pa.int64()), pa.nulls(len(packs), pa.string()), pa.array([p[0] for p in packs], pa.binary()), pa.array([p[1] for p in packs], pa.binary())],
+            names=["block", "kind", "id", "text", "keys", "costs"],
+        )
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= PACKED:
+            yield out(held)
+            held, size = [], 0
+    if size:
+        yield out(held)
+
+
 def _score(depth: int):
     """Rows of a block follow each other: packs of costs, then documents."""
 
@@ -257,10 +288,12 @@ def code_lengths(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     block = F.when(F.input_file_name() == "", F.pmod(F.xxhash64(F.col(id_col)), F.lit(64))).otherwise(F.xxhash64(F.input_file_name(), F.input_file_block_start()))
     plain = docs.select(block.alias("block"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     counted = plain.mapInArrow(_count(depth), "key bigint, block bigint, n bigint")
-    counts = cut(counted.repartition(F.shiftright("key", 8 * (depth - 1))).sortWithinPartitions("key"))
-    tops = counts.mapInArrow(_tops(depth), "latest int, place int, zeros double, ones double, below double")
+    counts = cut(counted.repartition("key").sortWithinPartitions("key"))  # a gram has one row a block, however frequent it is
+    trees = cut(counts.mapInArrow(_totals, "key bigint, n bigint").repartition(F.shiftright("key", 8 * (depth - 1))).sortWithinPartitions("key"))  # each gram once
+    tops = trees.mapInArrow(_tops(depth), "latest int, place int, zeros double, ones double, below double")
     upper = upper_nodes(tops.groupBy("latest", "place").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).collect())  # 65,280 rows at most
-    costs = counts.mapInArrow(_cost_slices(depth, upper), "block bigint, kind int, id bigint, text string, keys binary, costs binary")
+    costs = trees.mapInArrow(_costs(depth, upper), "key bigint, cost float")
+    costs = counts.select("block", "key").join(costs, "key").select("block", "key", "cost").mapInArrow(_pack, "block bigint, kind int, id bigint, text string, keys binary, costs binary")
     texts = plain.select("block", F.lit(1).alias("kind"), "id", "text", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("costs"))
     return costs.union(texts).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_score(depth), "doc_id bigint, n_bytes bigint, code_bits double, bits_per_byte double")
 
