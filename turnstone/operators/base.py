@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -45,12 +46,41 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], *, how:
 
 
 def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """One pass over each key's rows in order, in Python: for accumulations that reset by their own value and so are no window function."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return fold(part.sort_values(list(order), kind="stable").reset_index(drop=True))
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    """One pass over each key's rows in order, in Python: for accumulations that reset by their own value and so are no window function.
+
+    One shuffle and sort by key; a task then walks through its keys, so that
+    many short recordings cost little more than their rows, and holds one
+    recording at a time beside the current batch.
+    """
+    names = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def same(a: pd.Series, b: pd.Series) -> bool:
+            return all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a[names], b[names], strict=True))
+
+        def ended() -> list[pd.DataFrame]:
+            part = fold((pd.concat(held) if len(held) > 1 else held[0]).reset_index(drop=True))
+            held.clear()
+            return [part] if len(part) else []
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            out = ended() if held and not same(held[-1].iloc[-1], batch.iloc[0]) else []
+            code = batch.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
+            starts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1), len(batch)]
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                held.append(batch.iloc[lo:hi])
+                if hi < len(batch):
+                    out += ended()
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if held:
+            yield from ended()
+
+    return df.repartition(*names).sortWithinPartitions(*names, *order).mapInPandas(run, schema)
 
 
 def dot(a: Column, b: Column) -> Column:
