@@ -244,3 +244,54 @@ def test_fan_out_isolates(spark):
 
     sinks.fan_out([bad, lambda df, k: seen.append(df.count())])(spark.range(3), 0)
     assert seen == [3]
+
+
+def test_live_frames_are_rebased(spark):
+    df = spark.createDataFrame([("a", k, 100.5 + k) for k in range(3)] + [("b", 0, 7.0)], "rec_id string, seq int, wall double")
+    assert sorted((r.rec_id, r.t0) for r in frames.rebased(df).collect()) == [("a", 0.0), ("a", 1.0), ("a", 2.0), ("b", 0.0)]
+
+
+def test_clip_keeps_the_crossing_frame(spark):
+    df = spark.createDataFrame([("a", k, 1.0) for k in range(5)], "rec_id string, seq int, dur double")
+    assert frames.clip(df, 2.5).count() == 3 and frames.clip(df, 2.0).count() == 2
+
+
+def test_manifest(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"clips": [{"clip_id": "b", "wav": "b.wav"}, {"clip_id": "a", "wav": "a.wav"}]}')
+    assert [r.clip_id for r in formats.manifest(spark, str(tmp_path / "m.json")).collect()] == ["a", "b"]
+    assert formats.manifest(spark, str(tmp_path / "m.json"), 1).count() == 1
+
+
+def test_verified_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "x").write_bytes(b"abc")
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    path = files.first().path
+    sums = spark.createDataFrame([(path, hashlib.sha256(b"abc").hexdigest().upper())], "path string, sha256 string")
+    assert formats.verified(files, sums).count() == 1
+    assert formats.verified(files, sums.withColumn("sha256", F.lit("00"))).count() == 0
+
+
+def test_snapping_and_cross_check(spark):
+    r = spark.createDataFrame([("r", 0, "en", 0.0, 10.0), ("r", 1, "fr", 10.0, 10.5)], "rec_id string, region_id bigint, lang string, t0 double, t1 double")
+    e = spark.createDataFrame([("r", 9.5, 0.2), ("r", 10.2, 0.1), ("r", 10.4, 0.1), ("r", 12.0, 0.0)], "rec_id string, t double, rms double")
+    got = [(x.t0, x.t1) for x in language.snap_to_silence(r, e).orderBy("region_id").collect()]
+    assert got == [(0.0, 10.2), (10.2, 10.5)]
+    second = spark.createDataFrame([("r", 0, "de", 0.9), ("r", 1, "de", 0.9)], "rec_id string, region_id bigint, lang string, p double")
+    assert [(x.second, x.p, x.agree) for x in language.cross_check(r, second).orderBy("region_id").collect()] == [("de", 0.9, False), ("-", 0.0, True)]
+
+
+def test_fold_keeps_groups_whole_over_batches(spark):
+    import pandas as pd
+
+    from turnstone.operators.base import ordered_fold
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(200).selectExpr("id % 9 AS k", "200 - id AS seq", "IF(id % 9 = 3, NULL, concat('n', id % 9)) AS name")
+        out = ordered_fold(df, ["name"], ["seq"], lambda p: pd.DataFrame({"name": [p["name"].iloc[0]], "n": [len(p)], "first": [p["seq"].iloc[0]]}), "name string, n bigint, first bigint")
+        want = df.groupBy("name").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

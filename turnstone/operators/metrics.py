@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.operators.base import dot, over, unit
+from turnstone.operators.base import dot, over, preceding, unit
 
 BANDS_MS, TOLERANCE_MS = (300, 600, 1200), 50
 
@@ -180,7 +180,7 @@ def pareto(rows: DataFrame, *, keys: tuple[str, ...], quality: str = "quality",
     worse and none of its own cost is better.
     """
     best = rows.groupBy(*keys, cost).agg(F.max(quality).alias("_q"))
-    cheaper = F.max("_q").over(over(keys, [cost]).rowsBetween(-(1 << 31), -1))
+    cheaper = F.max("_q").over(preceding(keys, [cost]))
     front = best.withColumn("_c", cheaper).where(F.col("_c").isNull() | (F.col("_q") > F.col("_c"))).select(*keys, cost, F.col("_q").alias(quality))
     return rows.join(front, [*keys, cost, quality], "left_semi")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnstone.operators import asr, diarize
-from turnstone.operators.base import over, unit
+from turnstone.operators.base import over, preceding, unit
 from turnstone.plans.capture import read
 
 QUERIES, SQL = {}, {}
@@ -180,7 +180,7 @@ def speaker_pack(spark, sf_dir):
 
 def _chunked(spark, sf_dir):
     d = _durations(spark, sf_dir)
-    at = F.sum("dur").over(over(["rec_id"], ["seq"]).rowsBetween(-(1 << 31), -1))
+    at = F.sum("dur").over(preceding(["rec_id"], ["seq"]))
     return asr.local_windows(d.withColumns({"chunk": F.floor(F.col("seq") / 4).cast("int"), "seg_t0": F.coalesce(at, F.lit(0.0))}))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.operators.base import preceding
+from turnstone.operators.base import preceding, upto
 
 SAMPLE_RATE, FRAME_MS = 16_000, 20
 
@@ -52,4 +52,4 @@ def clip(frames: DataFrame, max_s: float, *, keys: tuple[str, ...] = ("rec_id",)
 
 def rebased(frames: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), order: tuple[str, ...] = ("seq",), clock: str = "wall") -> DataFrame:
     """Live frames with ``t0``: their clock since the recording's first frame."""
-    return frames.withColumn("t0", F.col(clock) - F.first(clock).over(preceding(keys, order).rowsBetween(-(1 << 31), 0)))
+    return frames.withColumn("t0", F.col(clock) - F.first(clock).over(upto(keys, order)))
