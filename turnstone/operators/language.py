@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from turnstone.operators.base import islands, ordered_fold, over
 
+#: Language, start and end.
+Region = tuple[str, float, float]
 WINDOW_S, HOP_S, SMOOTH_S, MIN_REGION_S, REFINE_S, SNAP_S, GATE = 10.0, 3.0, 6.0, 8.0, 4.0, 1.0, 0.5
 
 
@@ -95,11 +97,11 @@ def coalesce_regions(regions: DataFrame, *, keys: tuple[str, ...] = ("rec_id",))
     return out.select(*keys, F.col("_run").cast("bigint").alias("region_id"), "lang", "t0", "t1")
 
 
-def absorbed(regions: list[tuple[str, float, float]], least_s: float) -> list[tuple[str, float, float]]:
+def absorbed(regions: list[Region], least_s: float) -> list[Region]:
     """Regions under ``least_s``, the shortest first, take the language of the longer neighbour (the left one if equal) until none is left or one is."""
 
-    def joined(rs: list[tuple[str, float, float]]) -> list[tuple[str, float, float]]:
-        out: list[tuple[str, float, float]] = []
+    def joined(rs: list[Region]) -> list[Region]:
+        out: list[Region] = []
         for r in rs:
             if out and out[-1][0] == r[0]:
                 out[-1] = (r[0], out[-1][1], r[2])
@@ -109,11 +111,12 @@ def absorbed(regions: list[tuple[str, float, float]], least_s: float) -> list[tu
 
     rs = joined(regions)
     while len(rs) > 1:
-        k = min(range(len(rs)), key=lambda i: rs[i][2] - rs[i][1])
-        if rs[k][2] - rs[k][1] >= least_s:
+        sizes = [end - start for _, start, end in rs]
+        k = sizes.index(min(sizes))
+        if sizes[k] >= least_s:
             break
         beside = [i for i in (k - 1, k + 1) if 0 <= i < len(rs)]
-        host = max(beside, key=lambda i: rs[i][2] - rs[i][1])
+        host = max(beside, key=sizes.__getitem__)
         rs[k] = (rs[host][0], *rs[k][1:])
         rs = joined(rs)
     return rs

@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# --- language -------------------------------------------------------------------------------------------------------
+# language
 
 
 def _counts(spark, sf_dir):
@@ -134,7 +134,7 @@ def cross_check(spark, sf_dir):
     return language.cross_check(d, second)
 
 
-# --- summary --------------------------------------------------------------------------------------------------------
+# summary
 
 
 @query("recent_window", _UTTERANCES + """, f AS (SELECT * FROM u WHERE trim(text) <> '')
@@ -169,7 +169,7 @@ def summary_latest(spark, sf_dir):
     return summary.latest(summary.snapshots(utterances_of(spark, sf_dir)))
 
 
-# --- routing --------------------------------------------------------------------------------------------------------
+# routing
 
 
 def _jobs(spark, sf_dir):
@@ -206,7 +206,7 @@ def route_file(spark, sf_dir):
     return routing.route_file(_jobs(spark, sf_dir)).select("job_id", "use_offline", "file_backend", "refine", "note")
 
 
-# --- metrics --------------------------------------------------------------------------------------------------------
+# metrics
 
 
 @query("eot_score", """
