@@ -84,7 +84,7 @@ def test_packing(cap, want):
 
 
 def test_phrases_go_to_windows(spark):
-    w = spark.createDataFrame([("r", 0, k, a, b, 0.0) for k, (a, b) in enumerate([(0.0, 2.0), (2.1, 4.1), (4.2, 6.2)])], "rec_id string, chunk int, seq int, lo double, hi double, seg_t0 double")
+    w = spark.createDataFrame([("r", 0, k, a, b, 0.0) for k, (a, b) in enumerate([(0.0, 2.0), *((x, x + 2.0) for x in (2.1, 4.2))])], "rec_id string, chunk int, seq int, lo double, hi double, seg_t0 double")
     p = spark.createDataFrame([("r", 0, k, float(m), float(m)) for k, m in enumerate([1, 3, 6, 99])], "rec_id string, chunk int, phrase_id int, t0 double, t1 double")
     assert [r.seq for r in asr.assign_phrases(p, w).orderBy("phrase_id").collect()] == [0, 1, 2, 2]
 
