@@ -6,17 +6,15 @@ cues of identifiers (``+`` before a digit, a digit before a dot, four digits,
 anchor a small deterministic parser expands to the boundaries of what could be
 there and validates it:
 
-=========== ==================================================================
-email       local part and domain by their character rules, alphabetic TLD
-url_login   ``scheme://user:password@``, up to the at-sign
-ip          four numbers of 0 to 255 between dots, not part of a longer number
-phone       ``+`` and 8 to 15 digits with single separators, or 3-3-4 digits
-ssn         ``ddd-dd-dddd`` that the issuing rules allow
-card        13 to 19 digits in one run or groups of four, by Luhn's check digit
-iban        country's length and remainder 97
-account     16 to 19 digits in one run that fail the check digit, or 6 to 18 digits after a word for account
-secret      20 characters and more of key material after ``token``, ``key``, ``secret``, ``password`` or with a known key prefix
-=========== ==================================================================
+* email: local part and domain by their character rules, alphabetic TLD
+* url_login: ``scheme://user:password@``, up to the at-sign
+* ip: four numbers of 0 to 255 between dots, not part of a longer number
+* phone: ``+`` and 8 to 15 digits with single separators, or 3-3-4 digits
+* ssn: ``ddd-dd-dddd`` that the issuing rules allow
+* card: 13 to 19 digits in one run or groups of four, by Luhn's check digit
+* iban: country's length and remainder 97
+* account: 16 to 19 digits in one run that fail the check digit, or 6 to 18 digits after a word for account
+* secret: 20 characters and more of key material after ``token``, ``key``, ``secret``, ``password`` or with a known key prefix
 
 Where findings overlap the earliest wins, then the longest, then the kind first
 in the table. Expansion reads on as far as the item goes: there is no limit on
