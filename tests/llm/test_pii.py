@@ -27,6 +27,24 @@ def test_cases(text, want):
     assert [(text[a:b], k) for a, b, k in pii.find(text)] == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("T.+1 (826) 555-4081 190.137.223.204 x", [("+1 (826) 555-4081", "phone"), ("190.137.223.204", "ip")]),
+        ("+1 (843) 555-7672 170.106.47.218", [("+1 (843) 555-7672", "phone"), ("170.106.47.218", "ip")]),
+        ("+1 415 555 1234 1.2.3.4", [("+1 415 555 1234", "phone"), ("1.2.3.4", "ip")]),
+        ("+44 20 7946 0958 12345", [("+44 20 7946 0958", "phone")]),
+        ("+44 20 7946 0958 415-555-9999", [("+44 20 7946 0958", "phone"), ("415-555-9999", "phone")]),
+        ("+1-415-555-1234 4111111111111111", [("+1-415-555-1234", "phone"), ("4111111111111111", "card")]),
+        ("415-555-1234 415-555-9999", [("415-555-1234", "phone"), ("415-555-9999", "phone")]),
+        ("555.123.4567, 555.123.4567.8 and v1.555.123.4567", [("555.123.4567", "phone")]),
+        ("+1234567 +12345678901234567", [("12345678901234567", "account")]),
+    ],
+)
+def test_phone_numbers_end_where_another_number_starts(text, want):
+    assert [(text[a:b], k) for a, b, k in pii.find(text)] == want
+
+
 def brute_emails(text):
     """Emails by trying every at-sign against one expression of the whole address."""
     rx = re.compile(r"(?<![A-Za-z0-9.!#$%&'*+/=?^_`{|}~-])([A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*)@((?:[a-z0-9]+\.)+[a-z]{2,})(?![A-Za-z0-9-])")

@@ -9,7 +9,7 @@ there and validates it:
 * email: local part and domain by their character rules, alphabetic TLD
 * url_login: ``scheme://user:password@``, up to the at-sign
 * ip: four numbers of 0 to 255 between dots, not part of a longer number
-* phone: ``+`` and 8 to 15 digits with single separators, or 3-3-4 digits
+* phone: ``+`` and 8 to 15 digits with single separators, up to where another number starts, or 3-3-4 digits
 * ssn: ``ddd-dd-dddd`` that the issuing rules allow
 * card: 13 to 19 digits in one run or groups of four, by Luhn's check digit
 * iban: country's length and remainder 97
@@ -47,6 +47,7 @@ _domain = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2
 _login = re.compile(r"[^\s/@:]+:[^\s/@]+@")
 _ip = re.compile(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)", re.ASCII)
 _phone = re.compile(r"\+\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,14}))+", re.ASCII)
+_phone_group = re.compile(r"[ .-]?\(?(\d+)\)?", re.ASCII)
 _local_phone = re.compile(r"(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)", re.ASCII)
 _ssn = re.compile(r"(?!000|666|9\d\d)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])", re.ASCII)
 _grouped = re.compile(r"\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,4})?(?!\d)", re.ASCII)
@@ -61,6 +62,7 @@ def automaton() -> ahocorasick.Automaton:
     a, cues = ahocorasick.Automaton(), {"@": "@", "://": ":"}
     cues |= {f"+{d}": "+" for d in range(10)} | {f"{d}.": "i" for d in range(10)} | {f"-{n:02}-": "n" for n in range(100)} | {f"{n:04}": "d" for n in range(10_000)}
     cues |= {f"{d}-{e}": "t" for d in range(10) for e in range(10)} | {f"{d} {e}": "t" for d in range(10) for e in range(10)} | {f"{d}) ": "t" for d in range(10)} | {f"{d}){e}": "t" for d in range(10) for e in range(10)}
+    cues |= {f"{d}.{e}": "t" for d in range(10) for e in range(10)}
     cues |= {f"{c}{n:02}": "b" for c in _IBAN_LENGTHS for n in range(100)}
     cues |= {v: k for w, k in _CUES.items() for v in (w, w.upper(), w.capitalize())} | {p: "k" for p in _PREFIXES}
     for cue, kind in cues.items():
@@ -111,9 +113,34 @@ def _iban(t: str, i: int) -> tuple[int, int, str] | None:
     return (i, j, "iban") if int("".join(str(int(c, 36)) for c in got[4:] + got[:4])) % 97 == 1 else None
 
 
+def _starts_number(t: str, i: int) -> bool:
+    """Whether a number of another kind, or a phone number of its own, starts at i."""
+    if _ip.match(t, i) or _ssn.match(t, i) or _local_phone.match(t, i):
+        return True
+    m = _grouped.match(t, i)
+    return bool(m and 13 <= len(g := re.sub("[ -]", "", m.group())) <= 19 and luhn(g))
+
+
+def _plus(t: str, i: int) -> tuple[int, int, str] | None:
+    """The longest run of groups from ``+`` at i that has 8 to 15 digits and ends before another number."""
+    if not (m := _phone.match(t, i)):
+        return None
+    best, digits, at = None, 0, i + 1
+    while at < m.end() and (g := _phone_group.match(t, at, m.end())):
+        if digits >= 8 and t[at] == " " and (_starts_number(t, at + 1) or digits == 11 and t[i + 1] == "1"):  # +1 has ten digits more
+            break
+        digits, at = digits + len(g[1]), g.end()
+        if digits > 15:
+            break
+        if digits >= 8 and not t[at : at + 1].isdigit():
+            best = at
+    return (i, best, "phone") if best else None
+
+
 def find(t: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all findings of a text, in order and free of overlaps."""
     found: set[tuple[int, int, str]] = set()
+    phone_ends: set[int] = set()  # a number may follow one that is complete
     run_end = -1
     for end, (kind, length) in automaton().iter(t):
         i = end - length + 1
@@ -131,13 +158,16 @@ def find(t: str) -> list[tuple[int, int, str]]:
             if not (lo and (t[lo - 1] == "." and lo > 1 and t[lo - 2] in _DIGITS)) and (m := _ip.match(t, lo)):
                 hit = (lo, m.end(), "ip")
         elif kind == "+":
-            if (m := _phone.match(t, i)) and 8 <= sum(c in _DIGITS for c in m.group()) <= 15 and not t[m.end() : m.end() + 1].isdigit():
-                hit = (i, m.end(), "phone")
+            hit = _plus(t, i)
+            if hit:
+                phone_ends.add(hit[1])
         elif kind == "t":
             lo, _ = _run(t, i)
             lo -= lo > 0 and t[lo - 1] == "("
-            if not (lo and (t[lo - 1].isalnum() or t[lo - 1] in "+-." or t[lo - 1] == " " and lo > 1 and t[lo - 2].isdigit())) and (m := _local_phone.match(t, lo)):
-                hit = (lo, m.end(), "phone")
+            if not (lo and (t[lo - 1].isalnum() or t[lo - 1] in "+-." or t[lo - 1] == " " and lo > 1 and t[lo - 2].isdigit() and lo - 1 not in phone_ends)) and (m := _local_phone.match(t, lo)):
+                if not (t[m.end() - 5] == "." and t[m.end() : m.end() + 1] == "." and t[m.end() + 1 : m.end() + 2].isdigit()):
+                    hit = (lo, m.end(), "phone")
+                    phone_ends.add(m.end())
         elif kind == "n":
             lo, _ = _run(t, i - 1) if i else (0, 0)
             if not (lo and (t[lo - 1].isalnum() or t[lo - 1] == "-")) and (m := _ssn.match(t, lo)):
