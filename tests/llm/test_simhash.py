@@ -69,6 +69,19 @@ def test_forest_shape_reaches_the_target():
         assert 1 - (1 - (1 - S.DESIGN) ** depth) ** trees >= S.TARGET_RECALL and trees <= S.MAX_TREES
 
 
+@pytest.mark.parametrize("n", [10_000, 10**6, 3 * 10**7])
+def test_recall_at_the_limit_with_the_depth_of_large_inputs(n):
+    depth, trees = S.forest_shape(n)
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 2**64, (1500, 4), dtype=np.uint64)
+    flip = np.zeros((1500, S.BITS), np.uint8)
+    for row in flip:
+        row[rng.choice(S.BITS, S.MAX_DISTANCE, replace=False)] = 1
+    b = a ^ np.packbits(flip, axis=1, bitorder="little").view(np.uint64)
+    picks = S._permutations(trees, depth)
+    assert (S.nodes(a, picks) == S.nodes(b, picks)).any(axis=0).mean() >= S.TARGET_RECALL - 0.02
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 9), (4, 9), (4, 5), (10, 20), (11, 20), (11, 21), (12, 21)]
     got = {(r.entry, r.root) for r in S.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

@@ -10,7 +10,8 @@ bits. In batch form a trie is the sorted order of its permuted fingerprints,
 and its nodes at depth p are the runs that share p bits. Depth follows density:
 the trie is deep where many fingerprints are (p = log2 of their number, less
 two), and the search climbs from there to shorter prefixes until the recall
-that trees and depth give at the design distance reaches the target; if the
+that trees and depth give at the design distance, which is ``max_distance``
+unless given, reaches the target; if the
 number of trees allowed can't reach it at that depth, it climbs further. All
 pairs under a node at that depth are verified on all 256 bits (there is no cap:
 large nodes go through the same comparison in blocks) and a node's links are
@@ -42,7 +43,7 @@ from turnstone.llm.textkit import Words, mix, slices
 
 BITS, WORDS64 = 256, 4
 #: Bits that near duplicates may differ in; the share of bits at which the target recall must hold.
-MAX_DISTANCE, DESIGN = 46, 0.13
+MAX_DISTANCE, DESIGN = 46, 46 / BITS
 TARGET_RECALL, MAX_TREES = 0.97, 128
 SEED = 20240607
 
@@ -92,11 +93,17 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, has
 
 
+def hit_rate(depth: int, design: float) -> float:
+    """Chance that two fingerprints that differ in a share ``design`` of their bits agree on ``depth`` bits drawn without replacement."""
+    same = BITS * (1 - design)
+    return math.prod(max(0.0, same - k) / (BITS - k) for k in range(depth))
+
+
 def forest_shape(n: int, *, design: float = DESIGN, target: float = TARGET_RECALL, max_trees: int = MAX_TREES) -> tuple[int, int]:
     """(depth, trees) for n fingerprints: start at the depth where a node holds about four, climb while the trees allowed miss the target."""
     depth = max(1, min(48, int(math.log2(max(n, 2))) - 2))
     while True:
-        hit = (1 - design) ** depth
+        hit = hit_rate(depth, design)
         trees = math.ceil(math.log(1 - target) / math.log1p(-hit)) if hit < 1 else 1
         if trees <= max_trees or depth == 1:
             return depth, max(1, trees)
@@ -199,9 +206,9 @@ def fingerprint_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.mapInArrow(_fingerprint_rows, "id bigint, text_key bigint, signature binary")
 
 
-def forest_links(entries: DataFrame, n: int, *, max_distance: int = MAX_DISTANCE, target: float = TARGET_RECALL, design: float = DESIGN) -> DataFrame:
+def forest_links(entries: DataFrame, n: int, *, max_distance: int = MAX_DISTANCE, target: float = TARGET_RECALL, design: float | None = None) -> DataFrame:
     """``entries`` (entry, signature), distinct -> links (a, b) with a < b between entries of one group."""
-    depth, trees = forest_shape(n, design=design, target=target)
+    depth, trees = forest_shape(n, design=max_distance / BITS if design is None else design, target=target)
     picks = _permutations(trees, depth)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +263,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, target: float = TARGET_RECALL, design: float = DESIGN) -> DataFrame:
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, target: float = TARGET_RECALL, design: float | None = None) -> DataFrame:
     """Every distinct (id, text) as ``doc_id, text_key, leader_id, leader_key, copies``: its group's leader, and how often the row is there."""
     rows = cut(fingerprint_table(docs, id_col, text_col))  # 60 bytes a document; the text is read once
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("text_key"))
