@@ -99,6 +99,24 @@ def test_recall_and_precision_against_brute_force(spark):
     assert all(label[i] == label[found[i]] for i in found)  # nothing is joined that brute force doesn't join
 
 
+def test_near_copies_by_their_texts(spark):
+    """Copies with 10 of 100 words changed, beside texts that share a quarter of their words: the texts decide, not the bits."""
+    rnd = random.Random(21)
+    rows, far = [], []
+    for k in range(60):
+        base = [f"v{rnd.randrange(10**6)}" for _ in range(100)]
+        copy, other = base[:], base[:25] + [f"u{rnd.randrange(10**6)}" for _ in range(75)]
+        for at in rnd.sample(range(100), 10):
+            copy[at] = f"n{rnd.randrange(10**6)}"
+        rows += [(3 * k + j, " ".join(t), "s") for j, t in enumerate((base, copy, other))]
+        sig, _ = S.fingerprints(pa.array([" ".join(base), " ".join(copy)]))
+        far.append(int(np.bitwise_count(sig[0] ^ sig[1]).sum()))
+    leader = {r.doc_id: r.leader_id for r in S.groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    joined = [leader[3 * k] == leader[3 * k + 1] for k in range(60)]
+    assert sum(d > 46 for d in far) >= 5 and np.mean(joined) >= 0.9
+    assert all(leader[3 * k + 2] == 3 * k + 2 for k in range(60))
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(7, "The quick brown fox", "a"), (3, "the QUICK brown fox.", "b"), (3, "the QUICK brown fox.", "b"), (None, "other words entirely here", "a"), (9, "", "a"), (10, None, "a"), (11, "?!", "a"), (11, "?!", "a"), (12, "something else", None), (12, "two texts one id", None)]
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS signature", "2 AS __nth", "3 AS id")

@@ -16,6 +16,8 @@ number of trees allowed can't reach it at that depth, it climbs further. All
 pairs under a node at that depth are verified on all 256 bits (there is no cap:
 large nodes go through the same comparison in blocks) and a node's links are
 cut down to a spanning star of each group, which keeps groups as they are.
+Pairs of more than ``SURE_DISTANCE`` bits are verified on the texts as well:
+their feature sets must have a Jaccard similarity of ``MIN_JACCARD`` or more.
 
 Equal fingerprints are one entry of the forest, so thousands of exact copies
 cost one row. Groups of entries are closed by alternating large-star and
@@ -43,7 +45,9 @@ from turnstone.llm.textkit import Words, mix, slices
 
 BITS, WORDS64 = 256, 4
 #: Bits that near duplicates may differ in; the share of bits at which the target recall must hold.
-MAX_DISTANCE, DESIGN = 46, 46 / BITS
+MAX_DISTANCE, DESIGN = 58, 58 / BITS
+#: Up to so many bits a pair needs no other proof; beyond, its texts' feature sets must have this Jaccard similarity.
+SURE_DISTANCE, MIN_JACCARD = 46, 0.5
 TARGET_RECALL, MAX_TREES = 0.97, 128
 SEED = 20240607
 
@@ -52,17 +56,24 @@ for _b in range(256):
     _LANES[_b] = int.from_bytes(bytes(_b >> k & 1 for k in range(8)), "little")
 
 
-def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 4) words of 64 bits, and which texts have a fingerprint."""
-    w, n = Words(texts), len(texts)
-    out = np.zeros((n, WORDS64), np.uint64)
+def features(texts: pa.Array) -> np.ndarray:
+    """Sorted keys of the texts' distinct features: the text's number above 40 bits of the feature's hash."""
+    w = Words(texts)
     if not len(w.hash):
-        return out, np.zeros(n, bool)
+        return np.zeros(0, np.uint64)
     pair = np.flatnonzero(w.doc[1:] == w.doc[:-1])
     h = np.concatenate([w.hash, mix(w.hash[pair] * np.uint64(3) + w.hash[pair + 1])])
     doc = np.concatenate([w.doc, w.doc[pair]]).astype(np.uint64)
     keys = np.sort((doc << np.uint64(40)) | (h >> np.uint64(24)))  # a text's features side by side, each once
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+
+
+def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(n, 4) words of 64 bits, and which texts have a fingerprint."""
+    keys, n = features(texts), len(texts)
+    out = np.zeros((n, WORDS64), np.uint64)
+    if not len(keys):
+        return out, np.zeros(n, bool)
     doc = (keys >> np.uint64(40)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     sizes = np.diff(np.append(first, len(keys)))
@@ -127,17 +138,25 @@ def nodes(signatures: np.ndarray, picks: np.ndarray) -> np.ndarray:
 
 def links_within(ids: np.ndarray, sig: np.ndarray, node: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning stars (least id, other id) of the groups that pairs within ``max_distance`` form under each node; rows are sorted by node."""
+    return links_and_candidates(ids, sig, node, max_distance, max_distance)[:2]
+
+
+def links_and_candidates(ids: np.ndarray, sig: np.ndarray, node: np.ndarray, sure: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``links_within`` ``sure`` bits, and all pairs (lesser id, other id) beyond them within ``upto`` bits that those links leave apart."""
     n = len(ids)
-    a, b = [], []
+    a, b, c, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     last = np.searchsorted(node, node, "right")
     k = 1
     small = last - np.searchsorted(node, node, "left") <= 64
     rows = np.flatnonzero(small)
     while len(rows):
         rows = rows[rows + k < last[rows]]
-        near = np.bitwise_count(sig[rows] ^ sig[rows + k]).sum(1, dtype=np.int32) <= max_distance
+        far = np.bitwise_count(sig[rows] ^ sig[rows + k]).sum(1, dtype=np.int32)
+        near, maybe = far <= sure, (far > sure) & (far <= upto)
         a.append(rows[near])
         b.append(rows[near] + k)
+        c.append(rows[maybe])
+        more.append(rows[maybe] + k)
         k += 1
     big = np.flatnonzero(~small)
     i = 0
@@ -150,7 +169,11 @@ def links_within(ids: np.ndarray, sig: np.ndarray, node: np.ndarray, max_distanc
             d = np.zeros((min(step, len(rest)), len(rest)), np.uint16)
             for w in range(WORDS64):
                 d += np.bitwise_count(rest[: len(d), None, w] ^ rest[None, :, w])
-            x, y = np.nonzero(d <= max_distance)
+            x, y = np.nonzero((d > sure) & (d <= upto))
+            keep = x < y
+            c.append(x[keep] + lo + s)
+            more.append(y[keep] + lo + s)
+            x, y = np.nonzero(d <= sure)
             keep = x < y
             x, y = x[keep], y[keep]
             if len(x) > 4 * len(block):  # only what connects
@@ -158,10 +181,13 @@ def links_within(ids: np.ndarray, sig: np.ndarray, node: np.ndarray, max_distanc
             a.append(x + lo + s)
             b.append(y + lo + s)
         i += hi - lo
-    if not a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     root, other = _stars(n, np.concatenate(a), np.concatenate(b), rank=ids)
-    return ids[root], ids[other]
+    label = np.arange(n)
+    label[other] = root
+    x, y = np.concatenate(c), np.concatenate(more)
+    apart = label[x] != label[y]
+    x, y = ids[x[apart]], ids[y[apart]]
+    return ids[root], ids[other], np.minimum(x, y), np.maximum(x, y)
 
 
 def _stars(n: int, x: np.ndarray, y: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -206,8 +232,8 @@ def fingerprint_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.mapInArrow(_fingerprint_rows, "id bigint, text_key bigint, signature binary")
 
 
-def forest_links(entries: DataFrame, n: int, *, max_distance: int = MAX_DISTANCE, target: float = TARGET_RECALL, design: float | None = None) -> DataFrame:
-    """``entries`` (entry, signature), distinct -> links (a, b) with a < b between entries of one group."""
+def forest_links(entries: DataFrame, n: int, *, max_distance: int = MAX_DISTANCE, sure: int = SURE_DISTANCE, target: float = TARGET_RECALL, design: float | None = None) -> DataFrame:
+    """``entries`` (entry, signature), distinct -> links (a, b, sure) with a < b between entries of one group, and, where not ``sure``, candidates that the texts decide on."""
     depth, trees = forest_shape(n, design=max_distance / BITS if design is None else design, target=target)
     picks = _permutations(trees, depth)
 
@@ -224,8 +250,9 @@ def forest_links(entries: DataFrame, n: int, *, max_distance: int = MAX_DISTANCE
 
         def out(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             node, entry, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
-            a, b = links_within(entry, sig, node, max_distance)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b, c, d = links_and_candidates(entry, sig, node, min(sure, max_distance), max_distance)
+            known = np.arange(len(a) + len(c)) < len(a)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, c]), pa.int64()), pa.array(np.concatenate([b, d]), pa.int64()), pa.array(known)], names=["a", "b", "sure"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -243,7 +270,31 @@ def forest_links(entries: DataFrame, n: int, *, max_distance: int = MAX_DISTANCE
             yield out(held)
 
     spread_rows = entries.mapInArrow(spread, "node bigint, entry bigint, signature binary")
-    return spread_rows.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a bigint, b bigint").distinct()
+    return spread_rows.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a bigint, b bigint, sure boolean").distinct()
+
+
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entry, text) -> (entry, its features)."""
+    for whole in batches:
+        for batch in slices(whole, 1):
+            keys = features(batch.column(1))
+            offsets = np.searchsorted(keys, np.arange(batch.num_rows + 1, dtype=np.uint64) << np.uint64(40))
+            values = pa.array((keys & np.uint64((1 << 40) - 1)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)], names=["entry", "features"])
+
+
+def alike(candidates: DataFrame, entries: DataFrame, docs: DataFrame, id_col: str, text_col: str, min_jaccard: float) -> DataFrame:
+    """Those ``candidates`` (a, b) whose leading texts share ``min_jaccard`` of their features."""
+    ends = candidates.select(F.col("a").alias("entry")).union(candidates.select("b")).distinct()
+    wanted = cut(entries.join(ends, "entry", "left_semi").select("entry", F.coalesce("lead.id", F.lit(0)).alias("id"), F.col("lead.n").alias("none"), F.col("lead.text_key").alias("text_key")))
+    small = F.broadcast(wanted) if wanted.count() < 500_000 else wanted  # a matter of speed: small enough, the texts need no exchange
+    number = F.col(id_col).cast("bigint")
+    texts = docs.select(F.coalesce(number, F.lit(0)).alias("id"), number.isNull().alias("none"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    found = texts.join(small, ["id", "none", "text_key"]).select("entry", "text").mapInArrow(_feature_rows, "entry bigint, features array<bigint>")
+    found = cut(found.dropDuplicates(["entry"]))  # repeated rows
+    pairs = candidates.join(found.toDF("a", "of_a"), "a").join(found.toDF("b", "of_b"), "b")
+    shared, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
+    return pairs.where(shared >= min_jaccard * (total - shared)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -263,14 +314,16 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, target: float = TARGET_RECALL, design: float | None = None) -> DataFrame:
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, sure: int = SURE_DISTANCE, min_jaccard: float = MIN_JACCARD, target: float = TARGET_RECALL, design: float | None = None) -> DataFrame:
     """Every distinct (id, text) as ``doc_id, text_key, leader_id, leader_key, copies``: its group's leader, and how often the row is there."""
     rows = cut(fingerprint_table(docs, id_col, text_col))  # 60 bytes a document; the text is read once
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("text_key"))
     same = rows.where("signature IS NOT NULL").groupBy("signature").agg(F.min(order).alias("lead"))
     entries = cut(same.select(F.xxhash64("signature").alias("entry"), "signature", "lead"))
     n = entries.count()
-    moved = components(forest_links(entries.select("entry", "signature"), n, max_distance=max_distance, target=target, design=design))
+    links = cut(forest_links(entries.select("entry", "signature"), n, max_distance=max_distance, sure=sure, target=target, design=design))
+    held = alike(links.where("NOT sure").select("a", "b"), entries, docs, id_col, text_col, min_jaccard)
+    moved = components(links.where("sure").select("a", "b").union(held))
     placed = entries.join(moved, "entry", "left").select("entry", "signature", "lead", F.coalesce("root", "entry").alias("root"))
     leads = placed.groupBy("root").agg(F.min("lead").alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1").select("root", "leader")
     placed = placed.join(leads, "root", "left").select("signature", F.coalesce("leader", "lead").alias("leader"))
