@@ -5,7 +5,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from turnstone.llm import bpe, mixing, pii, simhash, toxicity
+from turnstone.llm import bpe, mixing, pii, toxicity
+
+from .test_simhash import brute_groups
 
 
 @pytest.fixture(scope="module")
@@ -62,11 +64,7 @@ def test_against_brute_force(spark, corpus):
     second = C.drop_near_duplicates(spark, docs, folder)
     assert second.columns == names
     two = [tuple(r) for r in second.collect()]
-    sig, has = simhash.fingerprints(pa.array([r[1] for r in one], pa.string()))
-    near = (np.bitwise_count(sig[:, None] ^ sig[None]).sum(2) <= simhash.MAX_DISTANCE) & has[:, None] & has[None]
-    label = np.arange(len(one))
-    for _ in range(20):
-        label = np.minimum(np.where(near, label[None], 10**9).min(1), label)
+    label, _ = brute_groups([r[1] for r in one])
     survivors = [min((one[k][0] is None, one[k][0] or 0) for k in np.flatnonzero(label == g)) for g in np.unique(label)]
     assert sorted((r[0] is None, r[0] or 0) for r in two) == sorted(survivors)
 

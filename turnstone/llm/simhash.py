@@ -1,23 +1,32 @@
 """Near-duplicate documents: SimHash fingerprints in an LSH forest.
 
-A text's features are the set of its words and the set of its word pairs. Its
-fingerprint has 256 bits, each the sign of a sum over features of +1 or -1.
-Near duplicates are texts whose fingerprints differ in at most ``max_distance``
-bits; groups are what such pairs connect; the group's least id stays.
-
-The forest has ``trees`` tries, each over its own random permutation of the
-bits. In batch form a trie is the sorted order of its permuted fingerprints,
-and its nodes at depth p are the runs that share p bits. Depth follows density:
-the trie is deep where many fingerprints are (p = log2 of their number, less
-two), and the search climbs from there to shorter prefixes until the recall
-that trees and depth give at the design distance, which is ``max_distance``
-unless given, reaches the target; if the
-number of trees allowed can't reach it at that depth, it climbs further. All
-pairs under a node at that depth are verified on all 256 bits (there is no cap:
-large nodes go through the same comparison in blocks) and a node's links are
-cut down to a spanning star of each group, which keeps groups as they are.
-Pairs of more than ``SURE_DISTANCE`` bits are verified on the texts as well:
-their feature sets must have a Jaccard similarity of ``MIN_JACCARD`` or more.
+A text's fingerprint has 256 bits, each the sign of a sum of +1 or -1 over its
+distinct words. Near duplicates are texts whose fingerprints differ in at most
+``max_distance`` bits; groups are what such pairs connect; the group's least id
+stays. Pairs of more than ``sure`` bits are verified on the texts as well: their
+sets of words and word pairs must have a Jaccard similarity of ``min_jaccard``
+or more.
+
+The forest has several tries, each over its own random permutation of the bits;
+in batch form a trie is the sorted order of its permuted fingerprints, and its
+nodes at depth p are the runs that share p bits. Depth adapts to density: from
+the ``floor``, the greatest depth that any search uses, a search climbs to
+shorter prefixes as long as the node there holds ``LEAF`` fingerprints at most,
+so it ends high where fingerprints are few and stays deep where they crowd. The
+floor is where an average node holds one to two ``LEAF``; there are as many
+tries as make two fingerprints at ``max_distance`` bits meet at the floor in at
+least one of them with probability ``target``, so recall holds at the limit for
+any number of fingerprints n, and closer pairs and those of sparse nodes are
+found more surely. Tries grow as n to the power 0.31 at the default limit (14
+at 50,000, 90 at 15 million); a lower ``max_distance`` needs fewer. There is no
+cap on tries, nodes or pairs.
+
+All pairs of a node are verified on all 256 bits. In a crowded node close
+fingerprints are gathered around pivots first: those of one pivot are linked
+without being compared with each other, and what is far from a pivot by the
+triangle inequality is far from all around it, so a group of any size costs
+linear time. A node's links are cut down to a spanning star of each group,
+which keeps groups as they are.
 
 Equal fingerprints are one entry of the forest, so thousands of exact copies
 cost one row. Groups of entries are closed by alternating large-star and
@@ -25,9 +34,12 @@ small-star rounds, each written to the shared folder.
 
 Defined results: a null text, an empty text and a text without a word (letters,
 digits, anything beyond ASCII) have no fingerprint and stay, as groups of their
-own; of repeated rows (same id and text) one stays; a null id comes after all
-ids; an empty table gives an empty table; other columns are passed on whatever
-their names. Letters of ASCII and Latin-1 are compared without case.
+own; of repeated rows (same id and text) one stays, any of them if other
+columns differ; texts of one id are told apart by their hash, the lesser stays;
+sums that tie give the bit 0; a null id comes after all ids; texts are read
+whole whatever their length; an empty table gives an empty table; other columns
+are passed on whatever their names. Letters of ASCII and Latin-1 are compared
+without case.
 """
 
 from __future__ import annotations
@@ -44,11 +56,12 @@ from turnstone.llm.common import cut, fresh, table
 from turnstone.llm.textkit import Words, mix, slices
 
 BITS, WORDS64 = 256, 4
-#: Bits that near duplicates may differ in; the share of bits at which the target recall must hold.
-MAX_DISTANCE, DESIGN = 58, 58 / BITS
-#: Up to so many bits a pair needs no other proof; beyond, its texts' feature sets must have this Jaccard similarity.
-SURE_DISTANCE, MIN_JACCARD = 46, 0.5
-TARGET_RECALL, MAX_TREES = 0.97, 128
+#: Bits that near duplicates may differ in. Up to SURE_DISTANCE a pair needs no other proof; beyond, its texts' feature sets must have this Jaccard similarity.
+MAX_DISTANCE, SURE_DISTANCE, MIN_JACCARD = 48, 36, 0.5
+#: Chance that a pair at MAX_DISTANCE meets in some trie; fingerprints that a node holds; levels that a search can climb.
+TARGET_RECALL, LEAF, CLIMB = 0.95, 128, 3
+#: Bits of a trie that are kept in order; fingerprints of a node from which pivots are used, and the bits around a pivot.
+KEY_BITS, CROWDED, AROUND = 48, 512, 18
 SEED = 20240607
 
 _LANES = np.zeros(256, np.uint64)  # byte -> eight 8-bit lanes, one a bit
@@ -56,21 +69,23 @@ for _b in range(256):
     _LANES[_b] = int.from_bytes(bytes(_b >> k & 1 for k in range(8)), "little")
 
 
-def features(texts: pa.Array) -> np.ndarray:
-    """Sorted keys of the texts' distinct features: the text's number above 40 bits of the feature's hash."""
+def features(texts: pa.Array, pairs: bool = True) -> np.ndarray:
+    """Sorted keys of the texts' distinct words, and of their word pairs: the text's number above 40 bits of the feature's hash."""
     w = Words(texts)
     if not len(w.hash):
         return np.zeros(0, np.uint64)
-    pair = np.flatnonzero(w.doc[1:] == w.doc[:-1])
-    h = np.concatenate([w.hash, mix(w.hash[pair] * np.uint64(3) + w.hash[pair + 1])])
-    doc = np.concatenate([w.doc, w.doc[pair]]).astype(np.uint64)
-    keys = np.sort((doc << np.uint64(40)) | (h >> np.uint64(24)))  # a text's features side by side, each once
+    h, doc = w.hash, w.doc
+    if pairs:
+        pair = np.flatnonzero(w.doc[1:] == w.doc[:-1])
+        h = np.concatenate([h, mix(w.hash[pair] * np.uint64(3) + w.hash[pair + 1])])
+        doc = np.concatenate([doc, w.doc[pair]])
+    keys = np.sort((doc.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))  # a text's features side by side, each once
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
 
 
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(n, 4) words of 64 bits, and which texts have a fingerprint."""
-    keys, n = features(texts), len(texts)
+    keys, n = features(texts, pairs=False), len(texts)
     out = np.zeros((n, WORDS64), np.uint64)
     if not len(keys):
         return out, np.zeros(n, bool)
@@ -104,87 +119,129 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, has
 
 
-def hit_rate(depth: int, design: float) -> float:
-    """Chance that two fingerprints that differ in a share ``design`` of their bits agree on ``depth`` bits drawn without replacement."""
-    same = BITS * (1 - design)
-    return math.prod(max(0.0, same - k) / (BITS - k) for k in range(depth))
+def hit_rate(depth: int, distance: int) -> float:
+    """Chance that two fingerprints that differ in ``distance`` bits agree on ``depth`` bits drawn without replacement."""
+    return math.prod(max(0, BITS - distance - k) / (BITS - k) for k in range(depth))
 
 
-def forest_shape(n: int, *, design: float = DESIGN, target: float = TARGET_RECALL, max_trees: int = MAX_TREES) -> tuple[int, int]:
-    """(depth, trees) for n fingerprints: start at the depth where a node holds about four, climb while the trees allowed miss the target."""
-    depth = max(1, min(48, int(math.log2(max(n, 2))) - 2))
-    while True:
-        hit = hit_rate(depth, design)
-        trees = math.ceil(math.log(1 - target) / math.log1p(-hit)) if hit < 1 else 1
-        if trees <= max_trees or depth == 1:
-            return depth, max(1, trees)
-        depth -= 1
+def forest_shape(n: int, *, max_distance: int = MAX_DISTANCE, target: float = TARGET_RECALL, leaf: int = LEAF) -> tuple[int, int]:
+    """(floor, tries) for n fingerprints: the depth at which a node holds ``leaf`` to twice as many, and the tries that reach the target there."""
+    floor = min(KEY_BITS, BITS - max_distance, max(0, int(math.log2(max(n, 1) / leaf)) if n > leaf else 0))
+    hit = hit_rate(floor, max_distance)
+    return floor, 1 if hit >= target else math.ceil(math.log(1 - target) / math.log1p(-hit))
 
 
-def _permutations(trees: int, depth: int) -> np.ndarray:
+def permutations(trees: int) -> np.ndarray:
     rng = np.random.default_rng(SEED)
-    return np.stack([rng.permutation(BITS)[:depth] for _ in range(trees)])
+    return np.stack([rng.permutation(BITS)[:KEY_BITS] for _ in range(trees)])
 
 
-def nodes(signatures: np.ndarray, picks: np.ndarray) -> np.ndarray:
-    """(trees, n): the node of each fingerprint in each trie, as the number its first permuted bits form."""
-    bits = np.unpackbits(np.ascontiguousarray(signatures).view(np.uint8).reshape(len(signatures), BITS // 8), axis=1, bitorder="little")
-    out = np.zeros((len(picks), len(signatures)), np.int64)
+def trie_keys(signatures: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """(tries, n): each fingerprint's place in each trie: the number of the trie above the first permuted bits."""
+    n = len(signatures)
+    bits = np.unpackbits(np.ascontiguousarray(signatures).view(np.uint8).reshape(n, BITS // 8), axis=1, bitorder="little")
+    out = np.zeros((len(picks), n, 8), np.uint8)
     for t, pick in enumerate(picks):
-        for b in pick:
-            out[t] = out[t] << 1 | bits[:, b]
-    return out
-
-
-def links_within(ids: np.ndarray, sig: np.ndarray, node: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning stars (least id, other id) of the groups that pairs within ``max_distance`` form under each node; rows are sorted by node."""
-    return links_and_candidates(ids, sig, node, max_distance, max_distance)[:2]
+        out[t, :, 0], out[t, :, 1] = t >> 8, t & 255
+        out[t, :, 2:] = np.packbits(bits[:, pick], axis=1)
+    return out.view(">i8")[:, :, 0].astype(np.int64)
+
+
+def climbed(keys: np.ndarray, root: int, floor: int, leaf: int = LEAF) -> np.ndarray:
+    """First row of the node in which each of the sorted ``keys`` is searched: at depth ``floor``, or the shortest prefix of ``root`` bits and more whose node holds ``leaf`` at most."""
+    n = len(keys)
+    node, settled = np.zeros(n, np.int64), np.zeros(n, bool)
+    for depth in range(root, floor + 1):
+        prefix = keys >> (KEY_BITS - depth)
+        first = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+        size = np.diff(np.append(first, n))
+        node = np.where(settled, node, np.repeat(first, size))
+        settled |= np.repeat(size <= leaf, size)
+        if settled.all():
+            break
+    return node
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d = np.zeros((len(a), len(b)), np.uint16)
+    for w in range(WORDS64):
+        d += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
+    return d
+
+
+def _node_pairs(sig: np.ndarray, sure: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows within ``sure`` bits, and those beyond within ``upto``, all compared with all in blocks."""
+    near, maybe = [], []
+    step = max(1, 2_000_000 // len(sig))
+    for s in range(0, len(sig), step):
+        d = _distances(sig[s : s + step], sig[s:])
+        x, y = np.nonzero(d <= upto)
+        keep = x < y
+        x, y = x[keep], y[keep]
+        close = d[x, y] <= sure
+        near.append((x[close] + s, y[close] + s))
+        maybe.append((x[~close] + s, y[~close] + s))
+    return tuple(np.concatenate([p[k] for p in part]) for part in (near, maybe) for k in (0, 1))
+
+
+def _crowded_pairs(sig: np.ndarray, sure: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same groups and candidates between groups as ``_node_pairs``, with close fingerprints gathered around pivots."""
+    around = min(AROUND, sure)
+    left, members, radius = np.arange(len(sig)), [], []
+    while len(left):
+        d = np.bitwise_count(sig[left] ^ sig[left[0]]).sum(1, dtype=np.int32)
+        members.append(left[d <= around])
+        radius.append(int(d[d <= around].max()))
+        left = left[d > around]
+    pivots, radius, single = np.array([m[0] for m in members]), np.array(radius), np.array([len(m) == 1 for m in members])
+    near, maybe = [(np.repeat(pivots, [len(m) for m in members]), np.concatenate(members))], []
+    step = max(1, 2_000_000 // len(pivots))
+    for s in range(0, len(pivots), step):
+        d = _distances(sig[pivots[s : s + step]], sig[pivots[s:]]).astype(np.int32)
+        x, y = np.nonzero(d <= upto + radius[s : s + step, None] + radius[None, s:])  # else all of both are farther apart
+        keep = x < y
+        x, y = x[keep], y[keep]
+        alone = single[x + s] & single[y + s]
+        close = d[x, y] <= sure
+        near.append((pivots[x[alone & close] + s], pivots[y[alone & close] + s]))
+        maybe.append((pivots[x[alone & ~close] + s], pivots[y[alone & ~close] + s]))
+        for i, j in zip(x[~alone] + s, y[~alone] + s, strict=True):
+            a, b = members[i], members[j]
+            rows = max(1, 2_000_000 // len(b))
+            for lo in range(0, len(a), rows):
+                e = _distances(sig[a[lo : lo + rows]], sig[b])
+                u, v = np.nonzero(e <= upto)
+                close = e[u, v] <= sure
+                near.append((a[u[close] + lo], b[v[close]]))
+                if close.any():
+                    break  # one group from here on, whatever else is near
+                maybe.append((a[u + lo], b[v]))
+    return tuple(np.concatenate([p[k] for p in part] or [np.zeros(0, np.int64)]) for part in (near, maybe) for k in (0, 1))
 
 
 def links_and_candidates(ids: np.ndarray, sig: np.ndarray, node: np.ndarray, sure: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``links_within`` ``sure`` bits, and all pairs (lesser id, other id) beyond them within ``upto`` bits that those links leave apart."""
+    """Spanning stars (least id, other id) of the groups that pairs within ``sure`` bits form under each node, and all pairs (lesser id, other id) beyond them within ``upto`` bits that those leave apart. Rows are sorted by node."""
     n = len(ids)
-    a, b, c, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    last = np.searchsorted(node, node, "right")
-    k = 1
-    small = last - np.searchsorted(node, node, "left") <= 64
-    rows = np.flatnonzero(small)
-    while len(rows):
+    edges = np.append(np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])), n) if n else np.zeros(1, np.int64)
+    size = np.diff(edges)
+    parts = [[np.zeros(0, np.int64)] for _ in range(4)]
+    small = np.repeat(size <= 24, size)
+    rows, last, k = np.flatnonzero(small), np.repeat(edges[1:], size), 1
+    while len(rows):  # small nodes, all at once
         rows = rows[rows + k < last[rows]]
         far = np.bitwise_count(sig[rows] ^ sig[rows + k]).sum(1, dtype=np.int32)
         near, maybe = far <= sure, (far > sure) & (far <= upto)
-        a.append(rows[near])
-        b.append(rows[near] + k)
-        c.append(rows[maybe])
-        more.append(rows[maybe] + k)
+        for part, x in zip(parts, (rows[near], rows[near] + k, rows[maybe], rows[maybe] + k), strict=True):
+            part.append(x)
         k += 1
-    big = np.flatnonzero(~small)
-    i = 0
-    while i < len(big):  # large nodes, in blocks
-        lo, hi = big[i], last[big[i]]
-        block = sig[lo:hi]
-        step = max(1, 2_000_000 // len(block))
-        for s in range(0, len(block), step):
-            rest = block[s:]
-            d = np.zeros((min(step, len(rest)), len(rest)), np.uint16)
-            for w in range(WORDS64):
-                d += np.bitwise_count(rest[: len(d), None, w] ^ rest[None, :, w])
-            x, y = np.nonzero((d > sure) & (d <= upto))
-            keep = x < y
-            c.append(x[keep] + lo + s)
-            more.append(y[keep] + lo + s)
-            x, y = np.nonzero(d <= sure)
-            keep = x < y
-            x, y = x[keep], y[keep]
-            if len(x) > 4 * len(block):  # only what connects
-                x, y = _stars(len(rest), x, y)
-            a.append(x + lo + s)
-            b.append(y + lo + s)
-        i += hi - lo
-    root, other = _stars(n, np.concatenate(a), np.concatenate(b), rank=ids)
+    for at in np.flatnonzero(size > 24):
+        lo, hi = edges[at], edges[at + 1]
+        for part, x in zip(parts, (_crowded_pairs if hi - lo > CROWDED else _node_pairs)(sig[lo:hi], sure, upto), strict=True):
+            part.append(x + lo)
+    a, b, x, y = (np.concatenate(part) for part in parts)
+    root, other = _stars(n, a, b, rank=ids)
     label = np.arange(n)
     label[other] = root
-    x, y = np.concatenate(c), np.concatenate(more)
     apart = label[x] != label[y]
     x, y = ids[x[apart]], ids[y[apart]]
     return ids[root], ids[other], np.minimum(x, y), np.maximum(x, y)
@@ -232,45 +289,48 @@ def fingerprint_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.mapInArrow(_fingerprint_rows, "id bigint, text_key bigint, signature binary")
 
 
-def forest_links(entries: DataFrame, n: int, *, max_distance: int = MAX_DISTANCE, sure: int = SURE_DISTANCE, target: float = TARGET_RECALL, design: float | None = None) -> DataFrame:
+def forest_links(entries: DataFrame, n: int, *, max_distance: int = MAX_DISTANCE, sure: int = SURE_DISTANCE, target: float = TARGET_RECALL, leaf: int = LEAF) -> DataFrame:
     """``entries`` (entry, signature), distinct -> links (a, b, sure) with a < b between entries of one group, and, where not ``sure``, candidates that the texts decide on."""
-    depth, trees = forest_shape(n, design=max_distance / BITS if design is None else design, target=target)
-    picks = _permutations(trees, depth)
+    floor, trees = forest_shape(n, max_distance=max_distance, target=target, leaf=leaf)
+    root, picks = max(0, floor - CLIMB), permutations(trees)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 batch = whole.slice(lo, 2048)
-                at = nodes(_signature_matrix(batch.column(1)), picks)
-                for t in range(trees):
-                    yield pa.RecordBatch.from_arrays([pa.array(at[t] + (t << depth)), batch.column(0), batch.column(1)], names=["node", "entry", "signature"])
+                sig = _signature_matrix(batch.column(1))
+                for t in range(0, trees, 64):  # bounded memory, however many tries
+                    for keys in trie_keys(sig, picks[t : t + 64]) + (t << KEY_BITS):
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0), batch.column(1)], names=["key", "entry", "signature"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # a node's rows may go on in the next batch
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # a root's rows may go on in the next batch
 
         def out(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            node, entry, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
-            a, b, c, d = links_and_candidates(entry, sig, node, min(sure, max_distance), max_distance)
+            key, entry, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
+            a, b, c, d = links_and_candidates(entry, sig, climbed(key, root, floor, leaf), min(sure, max_distance), max_distance)
             known = np.arange(len(a) + len(c)) < len(a)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, c]), pa.int64()), pa.array(np.concatenate([b, d]), pa.int64()), pa.array(known)], names=["a", "b", "sure"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, entry, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _signature_matrix(batch.column(2))
-            first = int(np.searchsorted(node, node[-1], "left"))
+            key, entry, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _signature_matrix(batch.column(2))
+            top = key >> (KEY_BITS - root)
+            first = int(np.searchsorted(top, top[-1], "left"))
             if first:
-                yield out([*held, (node[:first], entry[:first], sig[:first])])
+                yield out([*held, (key[:first], entry[:first], sig[:first])])
                 held = []
-            elif held and held[-1][0][-1] != node[0]:
+            elif held and held[-1][0][-1] >> (KEY_BITS - root) != top[0]:
                 yield out(held)
                 held = []
-            held.append((node[first:], entry[first:], sig[first:]))
+            held.append((key[first:], entry[first:], sig[first:]))
         if held:
             yield out(held)
 
-    spread_rows = entries.mapInArrow(spread, "node bigint, entry bigint, signature binary")
-    return spread_rows.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a bigint, b bigint, sure boolean").distinct()
+    spread_rows = entries.mapInArrow(spread, "key bigint, entry bigint, signature binary")
+    sorted_tries = spread_rows.repartition(F.shiftright("key", KEY_BITS - root)).sortWithinPartitions("key")
+    return sorted_tries.mapInArrow(compare, "a bigint, b bigint, sure boolean").distinct()
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,6 +360,8 @@ def alike(candidates: DataFrame, entries: DataFrame, docs: DataFrame, id_col: st
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b), a < b -> (entry, root) for every entry but roots. Large-star and small-star rounds until nothing moves."""
     edges = cut(links)
+    state = F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))
+    before = edges.agg(*state).first()
     while True:
         # large-star: neighbours above u go to the least of u's neighbours and u
         both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
@@ -308,20 +370,21 @@ def components(links: DataFrame) -> DataFrame:
         # small-star: neighbours below u and u itself go to the least of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).union(least.select("m", "b")).where("x <> y").distinct().toDF("a", "b")
-        after = cut(small)
-        if after.count() == edges.count() and after.exceptAll(edges).isEmpty():
-            return after.select(F.col("b").alias("entry"), F.col("a").alias("root"))
-        edges = after
+        edges = cut(small)
+        after = edges.agg(*state).first()
+        if after == before:
+            return edges.select(F.col("b").alias("entry"), F.col("a").alias("root"))
+        before = after
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, sure: int = SURE_DISTANCE, min_jaccard: float = MIN_JACCARD, target: float = TARGET_RECALL, design: float | None = None) -> DataFrame:
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, sure: int = SURE_DISTANCE, min_jaccard: float = MIN_JACCARD, target: float = TARGET_RECALL, leaf: int = LEAF) -> DataFrame:
     """Every distinct (id, text) as ``doc_id, text_key, leader_id, leader_key, copies``: its group's leader, and how often the row is there."""
     rows = cut(fingerprint_table(docs, id_col, text_col))  # 60 bytes a document; the text is read once
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("text_key"))
     same = rows.where("signature IS NOT NULL").groupBy("signature").agg(F.min(order).alias("lead"))
     entries = cut(same.select(F.xxhash64("signature").alias("entry"), "signature", "lead"))
     n = entries.count()
-    links = cut(forest_links(entries.select("entry", "signature"), n, max_distance=max_distance, sure=sure, target=target, design=design))
+    links = cut(forest_links(entries.select("entry", "signature"), n, max_distance=max_distance, sure=sure, target=target, leaf=leaf))
     held = alike(links.where("NOT sure").select("a", "b"), entries, docs, id_col, text_col, min_jaccard)
     moved = components(links.where("sure").select("a", "b").union(held))
     placed = entries.join(moved, "entry", "left").select("entry", "signature", "lead", F.coalesce("root", "entry").alias("root"))
