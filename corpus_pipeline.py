@@ -1,8 +1,19 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
-each stage's result as Parquet in the shared folder and reads it again for the
-next. All but the last keep the columns of ``documents``.
+each stage's result as Parquet in the shared folder, reads it again for the next
+and deletes it once that has been written. All but the last keep the columns of
+``documents``.
+
+Defined results, for every stage and ``run``: a null or empty text is never
+toxic, a near duplicate or personal data; it is mixed like others and has no
+tokens (null stays null). A null id is kept and passed on; a null source is a
+source of its own. Very long texts are worked on whole. Repeated rows (same id
+and text) and all other members of a group of near duplicates but the one of
+the least id go in the second stage; of rows that tie in id and text any one
+stays. After mixing a document stands there as often as it was drawn. Empty
+tables give empty tables with the same columns. Further columns are passed on
+whatever their names, up to the last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -12,7 +23,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from turnstone.llm import bpe, mixing, pii, simhash, toxicity
-from turnstone.llm.common import shared_path, table
+from turnstone.llm.common import delete, shared_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,4 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        delete(spark, f"{folder}/{k - 1}")
     return docs
