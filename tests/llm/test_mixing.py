@@ -60,3 +60,23 @@ def test_same_whatever_the_partitioning(spark, parts):
     docs = spark.range(500).selectExpr("id AS doc_id", "concat('t', id) AS text", "concat('s', id % 3) AS source", "id % 9 AS n_chars")
     a = sorted(mixing.mix_sources(docs).collect())
     assert a == sorted(mixing.mix_sources(docs.repartition(parts)).collect())
+
+
+def test_clashing_names_null_ids_and_ties(spark):
+    rows = [(k, f"t{k}", "s", 5, k, k, {"m": k}) for k in range(40)] + [(None, f"n{k}", "s", 5, k, k, {}) for k in range(40)] + [(7, "tie", "s", 5, k, k, {}) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint, copy_no int, `a.b` int, m map<string,int>")
+    out = mixing.mix_sources(docs, epochs=2.5)
+    assert out.columns == [*docs.columns, "_copy_no"]
+    got = Counter((r.text, r.copy_no) for r in out.collect())
+    assert set(got) == {(r[1], r[4]) for r in rows} and set(got.values()) == {2, 3} and sum(got.values()) in (249, 250, 251)
+    again = Counter((r.text, r.copy_no) for r in mixing.mix_sources(docs.repartition(5), epochs=2.5).collect())
+    assert got == again
+    assert mixing.mix_sources(docs.where("false")).count() == 0
+
+
+def test_long_and_empty_texts_and_many_ranges(spark, monkeypatch):
+    rows = [(k, "x" * 200_000 if k == 3 else "", ["a", "b"][k % 2], 7) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+    one = sorted(map(tuple, mixing.mix_sources(docs, epochs=1.3).collect()))
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 0.01)
+    assert one == sorted(map(tuple, mixing.mix_sources(docs, epochs=1.3).collect())) and (3, "x" * 200_000, "b", 7, 1) in one
