@@ -1,20 +1,27 @@
 """Capture index of a web archive, built by external merging.
 
 Each input partition becomes a run: its captures sorted by URL key, timestamp
-and id, written to the shared folder. Key ranges are then dealt to tasks, and
-each task merges its stretch of all runs with a loser tree (k-way, one
-comparison a level for each row). The stretches together are globally ordered;
-positions and the numbering of a URL's captures are carried over the borders of
-stretches, so a URL with any number of captures can be cut anywhere.
+and id, written to the shared folder. Key ranges are then dealt to tasks, each
+of some ``STRETCH`` captures at most, and each task merges its stretch of all
+runs with a loser tree (k-way, one comparison a level for each row), numbering
+captures and comparing bodies as they come. The stretches, one file each, are
+in global order. Where a stretch begins and how many captures of its first URL
+stand before it is two rows a stretch; joining them moves no capture, so the
+result is in order as well, and a URL with any number of captures can be cut
+anywhere.
 
 The URL key is the host with its labels reversed, then path and sorted query:
 scheme, user, port, leading ``www``, fragment, trailing slash and ``utm_``
 parameters don't count.
 
 Defined results: a null or blank URL has the key ``''``; a null timestamp comes
-before all others of its key, a null id before other ids; repeated rows are
-captures of their own, next to each other; an empty table gives an empty table.
-Only the named columns are read, so other columns can have any name.
+before all others of its key, a null id before other ids; captures that tie in
+key, time and id come in the order of their body's digest, then of their URL;
+repeated rows are captures of their own, next to each other; URLs and bodies
+are read whole whatever their length (a capture whose key, time and id all tie
+with more than ``STRETCH`` others is merged with them in one task); a null body
+has no digest and is never a revisit; an empty table gives an empty table. Only
+the named columns are read, so other columns can have any name.
 """
 
 from __future__ import annotations
@@ -26,9 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import cut, table
+from turnstone.llm.common import cut, quoted, table
 
-OUT = "part int, row bigint, id bigint, url string, url_key string, captured_at bigint, digest string"
+OUT = "part int, row bigint, id bigint, url string, url_key string, captured_at bigint, digest string, nth bigint, again boolean, final boolean"
+#: Captures that a task merges at once.
+STRETCH = 200_000
 _FIELDS = ("id", "url", "url_key", "captured_at", "digest")
 
 
@@ -83,9 +92,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if lists[-1] and row < lists[-1][-1]:
                 lists.append([])
             lists[-1].append(row)
-    part, n, rows = TaskContext.get().partitionId(), 0, []
+    part, n, nth, rows = TaskContext.get().partitionId(), 0, 0, []
+    numbers: list[tuple[int, bool]] = []
 
-    def out() -> pa.RecordBatch:
+    def out(last: bool) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays(
             [
@@ -96,18 +106,26 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([v.decode() for v in cols[0]], pa.string()),
                 pa.array([v if ok else None for ok, v in zip(cols[1], cols[2], strict=True)], pa.int64()),
                 pa.array([v if ok else None for ok, v in zip(cols[8], cols[5], strict=True)], pa.string()),
+                pa.array([k for k, _ in numbers], pa.int64()),
+                pa.array([r for _, r in numbers], pa.bool_()),
+                pa.array([last and k == len(rows) - 1 for k in range(len(rows))], pa.bool_()),
             ],
-            names=["part", "row", "id", "url", "url_key", "captured_at", "digest"],
+            names=[c.split()[0] for c in OUT.split(", ")],
         )
 
+    before = None
     for row in LoserTree([x for lists in runs.values() for x in lists]):
+        if len(rows) == 20_000:
+            yield out(False)
+            rows, numbers = [], []
+        same = before is not None and before[0] == row[0]
+        nth = nth + 1 if same else 1
+        numbers.append((nth, same and row[8] and before[8] and before[5] == row[5]))
         rows.append(row)
+        before = row
         n += 1
-        if len(rows) == 20_000:
-            yield out()
-            rows = []
     if rows:
-        yield out()
+        yield out(True)
 
 
 def url_key(url: str) -> str:
@@ -126,30 +144,28 @@ def capture_index(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     ``revisit`` marks a body equal to that of the key's capture before.
     """
     keyed = pages.select(
-        F.col(id_col).cast("bigint").alias("id"),
-        F.col(url_col).alias("url"),
-        F.expr(url_key(f"`{url_col}`")).alias("url_key"),
+        F.col(quoted(id_col)).cast("bigint").alias("id"),
+        F.col(quoted(url_col)).alias("url"),
+        F.expr(url_key(quoted(url_col))).alias("url_key"),
         F.expr(captured_at).cast("bigint").alias("captured_at"),
-        F.md5(F.col(body_col)).alias("digest"),
+        F.md5(F.col(quoted(body_col))).alias("digest"),
         F.spark_partition_id().alias("run"),
     )
-    order = ["url_key", F.asc_nulls_first("captured_at"), F.asc_nulls_first("id")]
+    key = [F.col("url_key"), F.asc_nulls_first("captured_at"), F.asc_nulls_first("id")]
+    order = [*key, F.coalesce("digest", F.lit("")), F.coalesce("url", F.lit(""))]
     runs = cut(keyed.sortWithinPartitions(*order))  # the runs; the bodies are read once
-    merged = cut(runs.repartitionByRange(*order).mapInArrow(_merge, OUT))
-    by_row = Window.partitionBy("part").orderBy("lo")
-    edges = (
-        merged.groupBy("part", "url_key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("lo"), F.max(F.struct("row", "digest")).alias("last"))
-        .withColumns({"first_key": F.row_number().over(by_row) == 1, "last_key": F.lead("lo").over(by_row).isNull()})
-        .where("first_key OR last_key")
-    )  # two rows a stretch at most
+    stretches = max(1, -(-runs.count() // STRETCH), pages.sparkSession.sparkContext.defaultParallelism)
+    merged = cut(runs.repartitionByRange(stretches, *key).mapInArrow(_merge, OUT))  # a stretch is a file, in order
+    lasts = merged.where("final").select("part", "url_key", F.col("nth").alias("n"), (F.col("row") + 1).alias("rows"), "digest")
+    firsts = merged.where("row = nth - 1").groupBy("part", "url_key").agg(F.max("nth").alias("n")).withColumn("first", F.lit(True))
+    # two rows a stretch from here on
+    ends = lasts.join(firsts.select("part", "url_key", "first"), ["part", "url_key"], "left").select("part", "url_key", "n", "digest", F.coalesce("first", F.lit(False)).alias("first"))
+    edges = ends.union(firsts.join(lasts, ["part", "url_key"], "left_anti").select("part", "url_key", "n", F.lit(None).cast("string"), F.lit(True)))
     chain = Window.partitionBy("url_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = edges.select("part", "url_key", "first_key", F.coalesce(F.sum("n").over(chain), F.lit(0)).alias("before"), F.last("last").over(chain).alias("prior")).where("first_key").select("part", "url_key", "before", "prior.digest", F.col("prior").isNotNull().alias("known"))
-    carried = carried.withColumnsRenamed({"part": "c_part", "url_key": "c_key", "digest": "c_digest"})
-    starts = merged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(F.col("part").alias("s_part"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # one row a stretch
-    own = Window.partitionBy("part", "url_key").orderBy("row")
-    full = merged.withColumns({"nth": F.row_number().over(own), "p_digest": F.lag("digest").over(own)})
-    full = full.join(F.broadcast(starts), full["part"] == starts["s_part"]).join(F.broadcast(carried), (full["part"] == carried["c_part"]) & (full["url_key"] == carried["c_key"]), "left")
+    carried = edges.select(F.col("part").alias("c_part"), F.col("url_key").alias("c_key"), "first", F.coalesce(F.sum("n").over(chain), F.lit(0)).alias("before"), F.last("digest").over(chain).alias("c_digest")).where("first").drop("first")
+    starts = lasts.select(F.col("part").alias("s_part"), F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    full = merged.join(F.broadcast(starts.join(carried, F.col("s_part") == F.col("c_part"))), F.col("part") == F.col("s_part"))  # one row a stretch: 500,000 for 10^11 captures
+    own = F.col("url_key") == F.col("c_key")
     return full.select(
         (F.col("start") + F.col("row") + 1).alias("position"),
         "url_key",
@@ -157,8 +173,8 @@ def capture_index(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
         F.col("id").alias("page_id"),
         "url",
         "digest",
-        (F.coalesce(F.col("before"), F.lit(0)) + F.col("nth")).alias("capture_no"),
-        F.coalesce(F.col("digest") == F.when(F.col("nth") > 1, F.col("p_digest")).otherwise(F.col("c_digest")), F.lit(False)).alias("revisit"),
+        (F.when(own, F.col("before")).otherwise(F.lit(0)) + F.col("nth")).alias("capture_no"),
+        F.coalesce(F.when(F.col("nth") > 1, F.col("again")).when(own, F.col("digest") == F.col("c_digest")), F.lit(False)).alias("revisit"),
     )
 
 
@@ -183,7 +199,7 @@ WITH a AS (
 ), c AS (
   SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || CASE WHEN host = '' THEN '' ELSE ')' END || path || CASE WHEN coalesce(args, '') = '' THEN '' ELSE '?' || args END AS url_key FROM b
 )
-SELECT row_number() OVER (ORDER BY url_key, captured_at NULLS FIRST, page_id NULLS FIRST, digest) AS "position", url_key, captured_at, page_id, url, digest,
+SELECT row_number() OVER (ORDER BY url_key, captured_at NULLS FIRST, page_id NULLS FIRST, digest, url) AS "position", url_key, captured_at, page_id, url, digest,
        row_number() OVER w AS capture_no, coalesce(digest = lag(digest) OVER w, false) AS revisit
-FROM c WINDOW w AS (PARTITION BY url_key ORDER BY captured_at NULLS FIRST, page_id NULLS FIRST, digest)
+FROM c WINDOW w AS (PARTITION BY url_key ORDER BY captured_at NULLS FIRST, page_id NULLS FIRST, digest, url)
 """
