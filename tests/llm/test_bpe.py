@@ -73,9 +73,17 @@ def test_long_piece(parts):
     assert enc.encode(text) == [ranks[p] for p in bpe.merge(text.encode(), ranks)]
 
 
+def test_long_texts_are_split_as_they_are_encoded(parts, monkeypatch):
+    _, enc = parts
+    text = "It's  a test, isn't it?  \n\n 12345 é" * 3000
+    whole = enc.encode(text)
+    monkeypatch.setattr(bpe, "BLOCK", 10)
+    assert enc.encode(text) == whole and enc.gives(whole, text) and not enc.gives(whole[:-1], text) and not enc.gives(whole, text + "x")
+
+
 def test_table(spark):
     rows = [(1, "Hello, world", "x", 1), (1, "Hello, world", "x", 1), (None, "é" * 10, None, 2), (3, "", "y", 3), (4, None, "y", 4)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, tokens int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, tokens int").selectExpr("*", "1 AS `a.b`")
     got = bpe.encode_documents(docs, keep=("source",)).collect()
     by = sorted(((r.doc_id or 0), r.n_tokens, r.tokens is None, r.round_trip, r.source) for r in got)
     assert [x[2] for x in by] == [False, False, False, False, True] and all(x[3] for x in by)

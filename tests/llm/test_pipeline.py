@@ -87,7 +87,7 @@ def test_against_brute_force(spark, corpus):
     assert len(four) == counted
 
     fifth = C.tokenize(spark, spark.createDataFrame(four, docs.schema), folder).collect()
-    enc = bpe.encoder(bpe.VOCABULARY, bpe.PATTERN, bpe.lookahead_of(bpe.VOCABULARY))
+    enc = bpe.Encoder(bpe.load_ranks(bpe.VOCABULARY), bpe.lookahead_of(bpe.VOCABULARY))
     got = sorted(((r.doc_id, r.tokens) for r in fifth), key=repr)
     assert got == sorted(((r[0], None if r[1] is None else enc.encode(r[1])) for r in four), key=repr) and all(r.round_trip for r in fifth)
 

@@ -14,14 +14,21 @@ on from an emitted boundary gives what merging the whole text would.
 
 The pattern that splits text before merging makes most pieces far shorter than
 L; they go through the transducer once and are remembered, in a table of
-bounded size.
+bounded size. Texts longer than ``BLOCK`` are split piece by piece as they are
+encoded, and tokens are compared with the text as they are decoded, so that
+beside the text and its tokens memory is constant.
 
 ``Decoder`` turns ids into text with a state of at most three bytes, those of a
 character whose end is still to come; bytes that are no UTF-8 become U+FFFD.
 
+The vocabulary is read on the driver and broadcast (a file of fixed size);
+executors need no copy of it.
+
 Defined results: null text gives null tokens, 0 of them; the empty text gives
-an empty list; a text is never cut; repeated rows give repeated results; an
-empty table gives an empty table; only the id and text columns are read.
+an empty list; texts are encoded whole whatever their length; of merges that tie
+in rank (equal pairs) the leftmost goes first; repeated rows give repeated
+results; a null id is passed on; an empty table gives an empty table; only the
+id and text columns and those in ``keep`` are read, so others can have any name.
 """
 
 from __future__ import annotations
@@ -30,15 +37,18 @@ import base64
 import heapq
 import itertools
 import os
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnstone.llm.common import table
+from turnstone.llm.common import quoted, table
 from turnstone.llm.textkit import slices
 
 #: Rank file and split pattern; both are parameters of every entry point.
@@ -46,11 +56,16 @@ VOCABULARY = os.environ.get("TURNSTONE_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces remembered by a worker before it starts over.
 REMEMBERED = 400_000
+#: Characters up to which a text's pieces are listed at once.
+BLOCK = 1 << 16
+
+
+def parse_ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return parse_ranks(Path(path).read_bytes())
 
 
 def sufficient_lookahead(ranks: dict[bytes, int]) -> int:
@@ -180,7 +195,7 @@ class Encoder(dict):
 
     def __init__(self, ranks: dict[bytes, int], lookahead: int, pattern: str = PATTERN):
         super().__init__()
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.transducer = Transducer(ranks, lookahead)
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for w, r in ranks.items():
@@ -194,17 +209,40 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
+    def pieces_of(self, text: str) -> Iterable[str]:
+        if len(text) <= BLOCK:
+            return self.pattern.findall(text)
+        return (m.group() for m in self.pattern.finditer(text))
+
+    def ids(self, text: str) -> array:
+        return array("i", itertools.chain.from_iterable(map(self.__getitem__, self.pieces_of(text))))
+
     def encode(self, text: str) -> list[int]:
-        return list(itertools.chain.from_iterable(map(self.__getitem__, self.split(text))))
+        return self.ids(text).tolist()
 
-    def decode(self, ids: list[int], chunk: int = 4096) -> str:
+    def texts(self, ids: array | list[int], chunk: int = 4096) -> Iterator[str]:
+        """The text of ``ids``, as it becomes whole."""
         decoder = Decoder(self.pieces)
-        return "".join([decoder.feed(ids[k : k + chunk]) for k in range(0, len(ids), chunk)] + [decoder.finish()])
+        for k in range(0, len(ids), chunk):
+            yield decoder.feed(ids[k : k + chunk])
+        yield decoder.finish()
+
+    def decode(self, ids: array | list[int], chunk: int = 4096) -> str:
+        return "".join(self.texts(ids, chunk))
+
+    def gives(self, ids: array | list[int], text: str) -> bool:
+        """Whether ``ids`` decode to ``text``."""
+        at = 0
+        for part in self.texts(ids):
+            if not text.startswith(part, at):
+                return False
+            at += len(part)
+        return at == len(text)
 
 
 @lru_cache(2)
-def encoder(path: str, pattern: str, lookahead: int) -> Encoder:
-    return Encoder(load_ranks(path), lookahead, pattern)
+def encoder(data: bytes, pattern: str, lookahead: int) -> Encoder:
+    return Encoder(parse_ranks(data), lookahead, pattern)
 
 
 @lru_cache(4)
@@ -216,27 +254,28 @@ def encode_documents(docs: DataFrame, *, vocabulary: str = VOCABULARY, pattern:
     """``doc_id``, columns ``keep``, ``n_tokens``, ``tokens`` and ``round_trip``: whether they decode to the text again."""
     if lookahead is None:
         lookahead = lookahead_of(vocabulary)
+    data = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, pattern, lookahead)
+        enc = encoder(data.value, pattern, lookahead)
         for whole in batches:
             for batch in slices(whole, 1, 4 << 20):
                 flat, counts, same, nulls = [], [], [], []
                 for t in batch.column(1):
                     t = t.as_py()
-                    ids = enc.encode(t) if t else []
-                    flat.append(np.array(ids, np.int32))
+                    ids = enc.ids(t) if t else array("i")
+                    flat.append(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32))
                     counts.append(len(ids))
                     nulls.append(t is None)
-                    same.append(t is None or enc.decode(ids) == t)
+                    same.append(t is None or enc.gives(ids, t))
                 offsets = np.zeros(len(counts) + 1, np.int32)
                 np.cumsum(counts, out=offsets[1:])
                 starts = pa.array(offsets, pa.int32(), mask=np.array([*nulls, False]))
                 tokens = pa.ListArray.from_arrays(starts, pa.array(np.concatenate([*flat, np.zeros(0, np.int32)]), pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(counts, pa.int32()), tokens, pa.array(same, pa.bool_())], names=["doc_id", *keep, "n_tokens", "tokens", "round_trip"])
 
-    chosen = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col], *[docs[c] for c in keep])
-    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    chosen = docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.col(quoted(text_col)), *[F.col(quoted(c)) for c in keep])
+    kept = "".join(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}, " for c in keep)
     return chosen.mapInArrow(run, f"doc_id bigint, {kept}n_tokens int, tokens array<int>, round_trip boolean")
 
 
