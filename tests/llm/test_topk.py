@@ -68,3 +68,17 @@ def test_edges(spark):
     assert got == {1: [(2, 1.0), (8, 0.0)], 2: [(1, 1.0), (8, 0.0)], 8: [(1, 0.0), (2, 0.0)]}
     assert topk.top_k(docs.where("false")).count() == 0
     assert topk.top_k(docs.where("vec_id = 2")).count() == 0
+
+
+def test_grids_of_cells(spark, monkeypatch):
+    """More cells than one, and more buckets than cells, whatever their size."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(500, 8)) * rng.lognormal(0, 1, (500, 1))
+    x[100:140] = x[100]  # ties
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA).repartition(3)
+    want = brute(list(range(500)), x, 6)
+    for cell in (40, 10**6):
+        monkeypatch.setattr(topk, "CELL", cell)
+        near(found(topk.top_k(docs, k=6, bucket=32)), want)
+    clash = docs.selectExpr("*", "1 AS `a.b`", "2 AS cell", "3 AS kind")
+    near(found(topk.top_k(clash, k=6, bucket=1000)), want)
