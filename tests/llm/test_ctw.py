@@ -75,7 +75,16 @@ def test_kt_large():
 def test_empty_and_clashing_columns(spark):
     assert ctw.code_lengths(spark.createDataFrame([], SCHEMA)).count() == 0
     docs = spark.createDataFrame([(None, "abc", 1, 2), (None, "abc", 1, 2)], "doc_id bigint, text string, block int, key int")
-    assert [r.n_bytes for r in ctw.code_lengths(docs).collect()] == [3, 3]
+    assert [r.n_bytes for r in ctw.code_lengths(docs.selectExpr("*", "1 AS `a.b`", "2 AS text_")).collect()] == [3, 3]
+
+
+def test_long_texts_and_many_blocks(spark, monkeypatch):
+    texts = ["abcab" * 4000, None, "", "abcab" * 4000] + [f"t{k}" for k in range(30)]
+    monkeypatch.setattr(ctw, "BLOCK_ROWS", 3)
+    got = {r.doc_id: r for r in ctw.code_lengths(spark.createDataFrame(list(enumerate(texts)), SCHEMA), depth=2).collect()}
+    want = brute(texts, 2)
+    assert got[0].n_bytes == 20_000 and got[0].code_bits == got[3].code_bits == pytest.approx(want[0], rel=1e-4)
+    assert [got[k].code_bits for k in range(4, 34)] == pytest.approx(want[4:], abs=0.02)
 
 
 def test_file_blocks_and_chunks(spark, tmp_path, monkeypatch):

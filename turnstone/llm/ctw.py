@@ -8,21 +8,26 @@ own estimate and half the product of its children's, so all depths are mixed
 (Willems, Shtarkov & Tjalkens). Having seen the corpus, a node's weight is the
 posterior half of its own estimate, and the probability of the next bit follows
 down the path. A document's score is the code length of its bytes, in bits,
-each by the path of its context.
+each by the path of its context. The counts are of all documents, the scored one
+among them: it is the cost of a document to who knows the corpus.
 
 The counts are those of the distinct (depth + 1)-grams. Tasks count their
 block's grams; a shuffle on the gram adds them up, and one of the distinct
 grams on the two latest context bytes brings every subtree below depth 2 into
-one task; the 256 x 255 + 255 nodes above it, a number that
-the alphabet sets and no corpus moves, are collected and sent back. Costs of
-grams go back to just the blocks that hold them, next to their documents, so
-nothing that grows with the corpus is broadcast, and each document is scored in
-a single pass over its block's costs.
+one task (256 ** (depth - 1) grams at most, a bound that the alphabet sets and
+no corpus moves); the 256 x 255 + 255 nodes above it are collected and sent
+back. Costs of grams go back to just the blocks that hold them, next to their
+documents, so nothing that grows with the corpus is broadcast, and each document
+is scored in a single pass over its block's costs. A block is a split of an
+input file (``spark.sql.files.maxPartitionBytes``); rows that come from no file
+are dealt to blocks of some ``BLOCK_ROWS`` by a hash.
 
 Defined results: null and empty texts have 0 bytes, 0 bits and a null rate;
-before a text's first byte stand zero bytes; repeated rows count as often as
-they are there and have one score each; null ids are passed on; an empty table
-gives an empty table; only the id and text columns are read.
+before a text's first byte stand zero bytes; texts are read whole whatever their
+length; repeated rows count as often as they are there and have one score each;
+nothing is ranked, so nothing ties; null ids are passed on; an empty table gives
+an empty table; only the id and text columns are read, so other columns can have
+any name.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import cut, table
+from turnstone.llm.common import cut, quoted, table
 from turnstone.llm.textkit import raw, slices
 
 DEPTH = 4
@@ -43,6 +48,7 @@ DEPTH = 4
 CHUNK = 150_000
 #: Rows that are packed by block at once.
 PACKED = 400_000
+BLOCK_ROWS = 20_000
 _U = np.uint64
 _LN2 = math.log(2)
 _KNOWN = 1 << 16
@@ -284,9 +290,10 @@ def code_lengths(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, n_bytes, code_bits, bits_per_byte`` of every document. ``depth``: 2 to 6 bytes of context."""
     if not 2 <= depth <= 6:
         raise ValueError("depth must be 2 to 6")
-    # a block is a file's split, the same in both passes; rows that come from no file are dealt to blocks by id
-    block = F.when(F.input_file_name() == "", F.pmod(F.xxhash64(F.col(id_col)), F.lit(64))).otherwise(F.xxhash64(F.input_file_name(), F.input_file_block_start()))
-    plain = docs.select(block.alias("block"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    number, text = F.col(quoted(id_col)).cast("bigint"), F.col(quoted(text_col))
+    # the same in both passes
+    block = F.when(F.input_file_name() == "", F.pmod(F.xxhash64(number, text), F.lit(-(-docs.count() // BLOCK_ROWS) or 1))).otherwise(F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+    plain = docs.select(block.alias("block"), number.alias("id"), text.alias("text"))
     counted = plain.mapInArrow(_count(depth), "key bigint, block bigint, n bigint")
     counts = cut(counted.repartition("key").sortWithinPartitions("key"))  # a gram has one row a block, however frequent it is
     trees = cut(counts.mapInArrow(_totals, "key bigint, n bigint").repartition(F.shiftright("key", 8 * (depth - 1))).sortWithinPartitions("key"))  # each gram once
