@@ -29,6 +29,12 @@ def quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+def mapped(docs: DataFrame, run) -> DataFrame:
+    """``docs`` through ``mapInArrow``, with its columns; they can have any name, dots too."""
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The cluster names its shared folder in ``spark.checkpoint.dir``. Where that is unset a local master (tests) gets a folder of its own; on a cluster it is an error."""
     sc = spark.sparkContext
