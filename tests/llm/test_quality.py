@@ -36,7 +36,7 @@ def test_hosts_shrink_and_set_the_bar(spark):
 
 def test_edges_and_sql(spark):
     rows = [(1, None, None, 1), (1, None, None, 1), (None, "", "s", 2), (2, CLEAN, "s", 3), (3, BAD["digits"] + "\u000b é", "HTTP://S.org:80/x?y", 4)]
-    docs = spark.createDataFrame(rows, SCHEMA + ", host int").selectExpr("*", "1 AS n", "2 AS r")
+    docs = spark.createDataFrame(rows, SCHEMA + ", host int").selectExpr("*", "1 AS n", "2 AS r", "3 AS `a.b`")
     got = sorted(map(tuple, quality.host_verdicts(docs).collect()), key=repr)
     pdf = docs.select("doc_id", "text", "source").toPandas()  # noqa: F841
     c = duckdb.connect()
@@ -48,3 +48,12 @@ def test_edges_and_sql(spark):
     cols = quality.host_verdicts(docs).columns
     assert got == sorted((tuple(w[k] for k in cols) for w in want), key=repr)
     assert quality.host_verdicts(docs.where("false")).count() == 0
+
+
+def test_long_texts_and_rates_that_tie(spark):
+    rows = [(1, CLEAN * 3000, "s"), (2, BAD["lines"] * 3000, "s"), (3, CLEAN, "t")]
+    got = {r.doc_id: r for r in quality.host_verdicts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert "diversity" in got[1].rules and "repeats" not in got[1].rules and not got[2].keep
+    rate = got[1].host_rate
+    for bounds in ({"reject": rate}, {"reject": 1.0, "trust": rate}):
+        assert quality.host_verdicts(spark.createDataFrame(rows, SCHEMA), **bounds).where("host = 's'").first().host_verdict == "ordinary"

@@ -11,9 +11,11 @@ document without failures always stays.
 The host is the host part of ``source`` where that is a URL, else ``source``.
 
 Defined results: null or blank text fails the rule ``empty`` alone; a null
-source is the host ``''``; ratios of texts under ten words are not judged;
-repeated rows count each; an empty table gives an empty table. Only the named
-columns are read, so other columns can have any name.
+source is the host ``''``; ratios of texts under ten words are not judged; texts
+are judged whole whatever their length; a rate that ties with ``reject`` or
+``trust`` is ordinary; repeated rows count each; a null id is passed on; an
+empty table gives an empty table. Only the named columns are read, so other
+columns can have any name.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import cut, table
+from turnstone.llm.common import cut, quoted, table
 
 #: Shrunk failure rates over REJECT condemn a host, those under TRUST make it trusted.
 REJECT, TRUST = 0.5, 0.02
@@ -65,8 +67,8 @@ def _hosts(reject: float, trust: float) -> str:
 
 def rule_failures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, host, failed, rules``: what each document fails, in one pass over its text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s"))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    plain = docs.select(F.col(quoted(id_col)).alias("doc_id"), text.alias("t"), F.coalesce(F.col(quoted(source_col)).cast("string"), F.lit("")).alias("s"))
     flat = plain.select("doc_id", "s", "t", F.split(F.trim(F.regexp_replace("t", "[ \t\r\n]+", " ")), " ").alias("w"), F.split("t", "\n").alias("l"))
     counts = flat.select(
         "doc_id",

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import cut, fresh, table
+from turnstone.llm.common import cut, fresh, quoted, table
 from turnstone.llm.textkit import Words, mix, slices
 
 BITS, WORDS64 = 256, 4
@@ -285,7 +285,7 @@ def _signature_matrix(column: pa.Array) -> np.ndarray:
 
 def fingerprint_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, text_key, signature`` of every row; ``text_key`` tells texts with the same id apart."""
-    slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(quoted(id_col)).cast("bigint").alias("id"), F.xxhash64(F.col(quoted(text_col))).alias("text_key"), F.col(quoted(text_col)).alias("text"))
     return slim.mapInArrow(_fingerprint_rows, "id bigint, text_key bigint, signature binary")
 
 
@@ -348,8 +348,8 @@ def alike(candidates: DataFrame, entries: DataFrame, docs: DataFrame, id_col: st
     ends = candidates.select(F.col("a").alias("entry")).union(candidates.select("b")).distinct()
     wanted = cut(entries.join(ends, "entry", "left_semi").select("entry", F.coalesce("lead.id", F.lit(0)).alias("id"), F.col("lead.n").alias("none"), F.col("lead.text_key").alias("text_key")))
     small = F.broadcast(wanted) if wanted.count() < 500_000 else wanted  # a matter of speed: small enough, the texts need no exchange
-    number = F.col(id_col).cast("bigint")
-    texts = docs.select(F.coalesce(number, F.lit(0)).alias("id"), number.isNull().alias("none"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    number = F.col(quoted(id_col)).cast("bigint")
+    texts = docs.select(F.coalesce(number, F.lit(0)).alias("id"), number.isNull().alias("none"), F.xxhash64(F.col(quoted(text_col))).alias("text_key"), F.col(quoted(text_col)).alias("text"))
     found = texts.join(small, ["id", "none", "text_key"]).select("entry", "text").mapInArrow(_feature_rows, "entry bigint, features array<bigint>")
     found = cut(found.dropDuplicates(["entry"]))  # repeated rows
     pairs = candidates.join(found.toDF("a", "of_a"), "a").join(found.toDF("b", "of_b"), "b")
@@ -404,10 +404,10 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     i, k, nth = fresh(docs.columns, "id", "key", "nth")
     leaders = groups(docs, id_col=id_col, text_col=text_col, **parameters).where(_is_leader())
     leaders = leaders.select(F.coalesce("doc_id", F.lit(0)).alias(i), F.col("text_key").alias(k))
-    keyed = docs.withColumns({i: F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)), k: F.xxhash64(F.col(text_col))})
+    keyed = docs.withColumns({i: F.coalesce(F.col(quoted(id_col)).cast("bigint"), F.lit(0)), k: F.xxhash64(F.col(quoted(text_col)))})
     once = keyed.join(leaders.distinct(), [i, k], "left_semi")
-    first = Window.partitionBy(i, k).orderBy(F.col(id_col).cast("bigint").asc_nulls_last())
-    return once.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = Window.partitionBy(i, k).orderBy(F.col(quoted(id_col)).cast("bigint").asc_nulls_last())
+    return once.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
