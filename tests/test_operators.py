@@ -1,5 +1,7 @@
 """Golden cases of single operators, and folds against plain loops."""
 
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -228,6 +230,118 @@ def test_summary_cadence():
     assert a.finish() is None
 
 
+def plain_clusters(vectors, threshold, alpha, cap):
+    """Nearest centroid by loops over Python floats."""
+    length = lambda v: math.sqrt(sum(x * x for x in v))
+    unit, centres, names = lambda v: [x / length(v) for x in v] if length(v) else v, [], []
+    for v in map(unit, vectors):
+        far = [1 - sum(x * y for x, y in zip(v, c)) for c in centres]
+        if far and (min(far) <= threshold or cap is not None and len(centres) >= cap):
+            k = far.index(min(far))
+            centres[k] = unit([(1 - alpha) * y + alpha * x for x, y in zip(v, centres[k])])
+        else:
+            k = len(centres)
+            centres.append(v)
+        names.append(f"S{k}")
+    return names
+
+
+@pytest.mark.parametrize("cap", [None, 3])
+def test_online_cluster_against_loops(spark, cap):
+    x = clustered(3)[:80]
+    rows = [("r", k, k * 1.0, k + (0.2 if k % 9 == 4 else 0.6), None if k % 11 == 7 else v.tolist()) for k, v in enumerate(x)]
+    got = [r.speaker for r in diarize.online_cluster(spark.createDataFrame(rows, "rec_id string, seq bigint, t0 double, t1 double, embedding array<double>"), max_speakers=cap).orderBy("seq").collect()]
+    judged = [k for k, r in enumerate(rows) if r[4] is not None and r[3] - r[2] >= 0.5]
+    want = dict(zip(judged, plain_clusters([rows[k][4] for k in judged], 0.3, 0.1, cap)))
+    assert got == [want.get(k, "S?") for k in range(80)] and len(set(got)) > 3
+
+
+def plain_links(x, threshold):
+    """Least member that chains of near vectors lead to, by depth-first search."""
+    def reach(k, seen):
+        for j in range(len(x)):
+            if j not in seen and 1 - float(x[k] @ x[j]) <= threshold:
+                seen.add(j)
+                reach(j, seen)
+        return seen
+
+    return [min(reach(k, {k})) for k in range(len(x))]
+
+
+def test_single_linkage_against_search(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(14, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([("r", f"S{k}", v.tolist()) for k, v in enumerate(x)], "rec_id string, speaker string, centroid array<double>")
+    for threshold in (0.05, 0.2, 0.5):
+        got = {r.speaker: r.group for r in diarize.single_linkage(df, threshold).collect()}
+        assert got == {f"S{k}": f"S{g}" for k, g in enumerate(plain_links(x, threshold))}
+
+
+def plain_snapshots(rows, recent_s, flush_s, flush_n):
+    """What a listener knows after each utterance, worked out anew from all that came before."""
+    out, summary_text, done, flushes = [], "", 0, 0
+    heads = lambda part: " / ".join(" ".join(r[3].split()[:4]) for r in part)
+    for k in range(len(rows)):
+        left = max([done, *(j + 1 for j in range(k + 1) if rows[k][1] - rows[j][1] > recent_s)])
+        part = rows[done:left]
+        if part and (part[-1][1] - part[0][0] >= flush_s if flush_s is not None else len(part) >= flush_n):
+            summary_text = " / ".join(x for x in (summary_text, heads(part)) if x)
+            done, flushes = left, flushes + 1
+        out.append((rows[k][1], summary_text, " ".join(r[3] for r in rows[left:k + 1]), flushes))
+    if rows[done:]:
+        summary_text, flushes = " / ".join(x for x in (summary_text, heads(rows[done:])) if x), flushes + 1
+    return [*out, (0.0, summary_text, "", flushes)]
+
+
+@pytest.mark.parametrize("flush_s, flush_n", [(10.0, 5), (0.0, 5), (None, 1), (None, 3)])
+def test_snapshots_against_loops(spark, flush_s, flush_n):
+    rng = np.random.default_rng(13)
+    ends = np.cumsum(rng.uniform(0.5, 4, 40)).round(3)
+    rows = [(float(e) - 0.4, float(e), "S0", f"word {k} and more words") for k, e in enumerate(ends)]
+    df = spark.createDataFrame([(rec, k, *r) for rec in ("a", "b") for k, r in enumerate(rows)], "rec_id string, seq bigint, t0 double, t1 double, speaker string, text string")
+    shots = summary.snapshots(df, recent_s=6.0, flush_s=flush_s, flush_n=flush_n)
+    want = plain_snapshots(rows, 6.0, flush_s, flush_n)
+    for rec in ("a", "b"):
+        got = shots.where(f"rec_id = '{rec}'").orderBy("is_final", "seq").collect()
+        assert [(r.t0, r.summary, r.recent, r.flushes) for r in got] == want and [r.is_final for r in got] == [False] * 40 + [True]
+    last = summary.latest(shots).collect()
+    assert sorted((r.rec_id, r.summary, r.is_final) for r in last) == [(rec, want[-1][1], True) for rec in ("a", "b")]
+    running = summary.latest(shots.where("NOT is_final")).collect()
+    assert {(r.seq, r.recent) for r in running} == {(39, want[39][2])}
+
+
+def plain_border(centers, gain, coarse):
+    up = [centers[k] + (centers[k + 1] - centers[k]) * -gain[k] / (gain[k + 1] - gain[k]) for k in range(len(gain) - 1) if gain[k] <= 0 < gain[k + 1]]
+    return min(up, key=lambda p: abs(p - coarse)) if up else coarse
+
+
+def test_refined_borders_against_loops(spark):
+    """Two probes near each border, so that nothing is smoothed: the border goes to where the next language overtakes."""
+    regions = [("r", 0, "en", 0.0, 10.0), ("r", 1, "fr", 10.0, 30.0), ("r", 2, "de", 30.0, 50.0)]
+    p = {9.0: ("en", 0.7, "fr", 0.3), 10.5: ("en", 0.2, "fr", 0.8), 29.0: ("fr", 0.9, "de", 0.1), 31.0: ("fr", 0.5, "de", 0.5)}
+    probes = [("r", t, lang, x) for t, (a, x1, b, x2) in p.items() for lang, x in ((a, x1), (b, x2))]
+    got = language.refine_boundaries(spark.createDataFrame(regions, "rec_id string, region_id bigint, lang string, t0 double, t1 double"), spark.createDataFrame(probes, "rec_id string, t double, lang string, p double"), radius_s=2.0).orderBy("region_id").collect()
+    first, second = plain_border([9.0, 10.5], [-0.4, 0.6], 10.0), plain_border([29.0, 31.0], [-0.8, 0.0], 30.0)
+    assert [(r.t0, r.t1) for r in got] == [(0.0, pytest.approx(first)), (pytest.approx(first), pytest.approx(second)), (pytest.approx(second), 50.0)]
+    assert second == 30.0
+
+
+def test_times_print_as_in_c_in_batch_and_fold(spark):
+    times = [0.125, 0.375, 2.675, 1.005, 0.05, 0.25, 0.35, 1234.565, 99999.995, 0.0]
+    df = spark.createDataFrame([("r", k, t, t + 0.25, "S0", f"w{k}") for k, t in enumerate(times)], "rec_id string, seq bigint, t0 double, t1 double, speaker string, text string")
+    lines = [r.x for r in df.select("seq", sinks.human_line(F.col("t0"), F.col("t1"), F.col("speaker"), F.col("text")).alias("x")).orderBy("seq").collect()]
+    assert lines == ["[%7.2fs -> %7.2fs  %s]  %s" % (t, t + 0.25, "S0", f"w{k}") for k, t in enumerate(times)]
+    block = summary.blocks(df, ["rec_id"]).first().block
+    kept = []
+    a = summary.Analyst(lambda s, rows: kept.append("\n".join(rows)) or "", recent_s=0.0, flush_s=None, flush_n=99)
+    for k, t in enumerate(times):
+        a.pending.append((t, t + 0.25, "S0", f"w{k}"))
+    a.flush()
+    assert kept == [block] and "[0.1-0.4]" in block
+    assert df.select(sinks.human_line(F.lit(None).cast("double"), F.col("t1"), F.col("speaker"), F.col("text")).alias("x")).first().x.startswith("[   null")
+
+
 def test_bucketed_overlap_is_the_same(spark):
     rng = np.random.default_rng(1)
     side = lambda a, b: spark.createDataFrame([("r", k, float(x), float(x + y)) for k, (x, y) in enumerate(zip(rng.uniform(0, 100, 40), rng.uniform(0.1, 20, 40)))], f"rec_id string, {a}k int, {a}0 double, {a}1 double")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.operators.base import ordered_fold, over, preceding
+from turnstone.operators.base import ordered_rows, over, preceding
 
 MAX_CHUNK_S, PAD_S, MIN_SEGMENT_MS = 24.0, 0.1, 250.0
 
@@ -27,12 +27,13 @@ def packed(durations: list[float], max_s: float = MAX_CHUNK_S, pad_s: float = PA
 def pack(segments: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), order: str = "seq", duration: str = "dur", max_s: float = MAX_CHUNK_S, pad_s: float = PAD_S, speaker: str | None = None) -> DataFrame:
     """``keys, seq, dur, chunk``; with ``speaker`` a chunk holds one speaker's segments only."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        breaks = (part[speaker] != part[speaker].shift()).tolist() if speaker else None
-        return part[[*keys, order, duration]].assign(chunk=packed(part[duration].tolist(), max_s, pad_s, breaks))
+    def fold(part: dict[str, list]) -> list[tuple]:
+        who = part[speaker] if speaker else []
+        breaks = [k == 0 or who[k] != who[k - 1] for k in range(len(who))] if speaker else None
+        return list(zip(*[part[k] for k in keys], part[order], part[duration], packed(part[duration], max_s, pad_s, breaks), strict=True))
 
     kinds = ", ".join(f"{c} {segments.schema[c].dataType.simpleString()}" for c in (*keys, order))
-    return ordered_fold(segments.select(*keys, order, F.col(duration).cast("double").alias(duration), *([speaker] if speaker else [])), keys, [order], fold, f"{kinds}, {duration} double, chunk int")
+    return ordered_rows(segments.select(*keys, order, F.col(duration).cast("double").alias(duration), *([speaker] if speaker else [])), keys, [order], fold, f"{kinds}, {duration} double, chunk int")
 
 
 def local_windows(chunks: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), order: str = "seq", duration: str = "dur", pad_s: float = PAD_S) -> DataFrame:

@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def over(keys: Sequence[str], order: Sequence[str | Column] | None = None) -> WindowSpec:
@@ -83,6 +86,39 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold:
     return df.repartition(*names).sortWithinPartitions(*names, *order).mapInPandas(run, schema)
 
 
+def ordered_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Callable[[dict[str, list]], list[tuple]], schema: str) -> DataFrame:
+    """As ``ordered_fold`` over plain values: ``fold`` gets a key's columns as lists (null numbers of double columns as NaN) and gives rows. One Arrow batch goes out for each that comes in, however many keys it holds."""
+    names, types = list(keys), to_arrow_schema(StructType.fromDDL(schema))
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, types, strict=True)], schema=types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        current = None
+        for batch in batches:
+            columns = {f.name: c.to_numpy(zero_copy_only=False).tolist() if pa.types.is_floating(f.type) else c.to_pylist() for f, c in zip(batch.schema, batch.columns, strict=True)}
+            rows, lo, each = [], 0, list(zip(*[columns[k] for k in names], strict=True))
+            for hi in range(1, len(each) + 1):
+                if hi < len(each) and each[hi] == each[lo]:
+                    continue
+                part = {k: v[lo:hi] for k, v in columns.items()}
+                if held and each[lo] == current:
+                    for k, v in part.items():
+                        held[k] += v
+                else:
+                    rows += fold(held) if held else []
+                    held, current = part, each[lo]
+                lo = hi
+            if rows:
+                yield out(rows)
+        if held:
+            yield out(fold(held))
+
+    return df.repartition(*names).sortWithinPartitions(*names, *order).mapInArrow(run, schema)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -95,3 +131,12 @@ def unit(a: Column) -> Column:
     """``a`` at length one; a zero vector as it is."""
     n = norm(a)
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(a.cast("array<double>"))
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """``x`` with so many digits as C and Python print it: by its exact binary value, ties to even. The JVM's formatter rounds the decimal it would print, half up."""
+
+    def show(v: pd.Series) -> pd.Series:
+        return v.map(lambda t: f"{t:.{digits}f}", na_action="ignore").astype(object)
+
+    return F.pandas_udf(show, "string")(x.cast("double"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.operators.base import ordered_fold
+from turnstone.operators.base import ordered_rows
 
 MAX_MERGE_S, MIN_INCOMPLETE_MS = 4.0, 800.0
 
@@ -26,8 +25,8 @@ def merge_turns(segments: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), ord
     is pending, and goes out once long or complete. The end lets go of the rest.
     """
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        key, out, held = tuple(part[k].iloc[0] for k in keys), [], None
+    def fold(part: dict[str, list]) -> list[tuple]:
+        key, out, held = tuple(part[k][0] for k in keys), [], None
         for seq, t0, t1, complete in zip(part[order], part["t0"], part["t1"], part["complete"], strict=True):
             if held is None and (t1 - t0) * 1000 >= min_incomplete_ms:
                 out.append((*key, seq, seq, t0, t1))
@@ -36,12 +35,17 @@ def merge_turns(segments: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), ord
             if held[3] - held[2] >= max_merge_s or complete:
                 out.append((*key, *held))
                 held = None
-        if held is not None:
-            out.append((*key, *held))
-        return pd.DataFrame(out, columns=[*keys, "first_seq", "last_seq", "t0", "t1"])
+        return out if held is None else [*out, (*key, *held)]
 
     kinds = ", ".join(f"{k} {segments.schema[k].dataType.simpleString()}" for k in keys)
-    return ordered_fold(segments.select(*keys, order, "t0", "t1", "complete"), keys, [order], fold, f"{kinds}, first_seq bigint, last_seq bigint, t0 double, t1 double")
+    times = [F.col(t).cast("double").alias(t) for t in ("t0", "t1")]
+    return ordered_rows(segments.select(*keys, order, *times, "complete"), keys, [order], fold, f"{kinds}, first_seq bigint, last_seq bigint, t0 double, t1 double")
+
+
+def joined_sound(a: Column, b: Column, gap_s: Column, sample_rate: int) -> Column:
+    """Samples of two segments with silence for the gap between them (none where they overlap)."""
+    gap = F.greatest(F.lit(0), F.rint(gap_s * sample_rate).cast("int"))
+    return F.concat(a, F.array_repeat(F.lit(0.0).cast("float"), gap), b)
 
 
 def false_cuts(texts: DataFrame, *, keys: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:

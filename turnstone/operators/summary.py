@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.operators.base import ordered_fold, over
+from turnstone.operators.base import fixed, ordered_rows, over
 
 RECENT_S, FLUSH_S, FLUSH_N = 60.0, 60.0, 5
 
@@ -26,7 +25,7 @@ def recent(utterances: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), order:
 
 
 def block_line(t0: Column, t1: Column, speaker: Column, text: Column) -> Column:
-    return F.format_string("[%.1f-%.1f] %s: %s", t0, t1, speaker, text)
+    return F.format_string("[%s-%s] %s: %s", fixed(t0, 1), fixed(t1, 1), speaker, text)
 
 
 def blocks(utterances: DataFrame, group: list[str], order: str = "seq") -> DataFrame:
@@ -86,17 +85,18 @@ def extract(summary: str, lines: Iterable[str]) -> str:
 def snapshots(utterances: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), order: str = "seq", summarise: Callable[[str, list[str]], str] = extract, recent_s: float = RECENT_S, flush_s: float | None = FLUSH_S, flush_n: int = FLUSH_N) -> DataFrame:
     """``keys, seq, t0, summary, recent, flushes, is_final``: one an utterance, and one at the end, of time 0."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        a, out, key = Analyst(summarise, recent_s, flush_s, flush_n), [], tuple(part[k].iloc[0] for k in keys)
-        for seq, *u in zip(part[order], part["t0"], part["t1"], part["speaker"], part["text"].fillna(""), strict=True):
-            if (s := a.add(tuple(u))) is not None:
+    def fold(part: dict[str, list]) -> list[tuple]:
+        a, out, key = Analyst(summarise, recent_s, flush_s, flush_n), [], tuple(part[k][0] for k in keys)
+        for seq, t0, t1, who, text in zip(part[order], part["t0"], part["t1"], part["speaker"], part["text"], strict=True):
+            if (s := a.add((t0, t1, who, text or ""))) is not None:
                 out.append((*key, seq, *s, False))
         if (s := a.finish()) is not None:
             out.append((*key, None, *s, True))
-        return pd.DataFrame(out, columns=[*keys, "seq", "t0", "summary", "recent", "flushes", "is_final"]).astype({"seq": "Int64"})
+        return out
 
     kinds = ", ".join(f"{k} {utterances.schema[k].dataType.simpleString()}" for k in keys)
-    return ordered_fold(utterances.select(*keys, order, "t0", "t1", "speaker", "text"), keys, [order], fold, f"{kinds}, seq bigint, t0 double, summary string, recent string, flushes int, is_final boolean")
+    times = [F.col(t).cast("double").alias(t) for t in ("t0", "t1")]
+    return ordered_rows(utterances.select(*keys, order, *times, "speaker", "text"), keys, [order], fold, f"{kinds}, seq bigint, t0 double, summary string, recent string, flushes int, is_final boolean")
 
 
 def latest(shots: DataFrame, *, keys: tuple[str, ...] = ("rec_id",)) -> DataFrame:

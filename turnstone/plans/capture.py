@@ -101,6 +101,14 @@ def rttm_parse(spark, sf_dir):
     return formats.rttm_words(_rttm_lines(spark, sf_dir))
 
 
+@query("rttm_turns", """
+SELECT event_id, CAST(event_id AS DOUBLE) AS start, CAST(event_id + event_id % 9 AS DOUBLE) AS "end", 'spk' || user_id % 3 AS speaker
+FROM events WHERE event_id % 2 = 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0""")
+def rttm_turns(spark, sf_dir):
+    lines = _rttm_lines(spark, sf_dir)
+    return formats.rttm_turns(lines.withColumn("line", F.regexp_replace("line", " <NA> [a-z_]+$", "")))
+
+
 @query("diarizer_lines", """
 SELECT event_id, CAST(event_id AS DOUBLE) AS start, CAST(event_id + event_id % 9 - CASE WHEN event_id % 2 = 0 THEN 0 ELSE 3 END AS DOUBLE) AS "end", 'spk' || user_id % 3 AS speaker
 FROM events WHERE CASE WHEN event_id % 2 = 0 THEN event_id % 11 <> 0 AND event_id % 13 <> 0 ELSE event_id % 9 > 3 END""")
@@ -127,10 +135,11 @@ def event_jsonl(spark, sf_dir):
     return sinks.jsonl(e)
 
 
-@query("human_line", _UTTERANCES + """ SELECT rec_id, seq, '[' || lpad(CAST(rec_id AS VARCHAR), 4, ' ') || '.00s -> ' || lpad(CAST(rec_id + seq AS VARCHAR), 4, ' ') || '.50s  ' || speaker || ']  ' || text AS line FROM u WHERE rec_id + seq < 1000""")
+@query("human_line", _UTTERANCES + """ SELECT rec_id, seq, printf('[%7.2fs -> %7.2fs  %s]  %s', rec_id / 8.0::DOUBLE + 0.125, (rec_id + seq) / 8.0::DOUBLE + 0.675, speaker, text) AS line FROM u""")
 def human_line(spark, sf_dir):
-    u = utterances_of(spark, sf_dir).where("rec_id + seq < 1000")
-    return u.select("rec_id", "seq", sinks.human_line(F.col("rec_id").cast("double"), F.col("rec_id") + F.col("seq") + F.lit(0.5), F.col("speaker"), F.col("text")).alias("line"))
+    """Times that end in half a hundredth, exactly (.125) and nearly (.675)."""
+    k = F.col("rec_id")
+    return utterances_of(spark, sf_dir).select("rec_id", "seq", sinks.human_line(k / 8 + 0.125, (k + F.col("seq")) / 8 + 0.675, F.col("speaker"), F.col("text")).alias("line"))
 
 
 @query("event_response", """SELECT user_id AS rec_id, list(event_id || ':' || event_type ORDER BY ts, event_id) AS events, count(*) AS count FROM events GROUP BY user_id""")

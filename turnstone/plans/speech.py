@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnstone.operators import asr, diarize
+from turnstone.operators import asr, diarize, eot
 from turnstone.operators.base import over, preceding, unit
 from turnstone.plans.capture import read
 
@@ -154,10 +154,10 @@ def stitch_chunks(spark, sf_dir):
 def _durations(spark, sf_dir):
     """Lines of an order as segments: centiseconds from the quantity."""
     li = read(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_suppkey").alias("rec_id"), (F.row_number().over(over(["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])) - 1).cast("bigint").alias("seq"), (F.col("l_quantity") / 5 + 0.0137).alias("dur"), F.col("l_returnflag").alias("speaker"), "l_partkey").where("seq < 60")
+    return li.select(F.col("l_suppkey").alias("rec_id"), (F.row_number().over(over(["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])) - 1).cast("bigint").alias("seq"), (F.col("l_quantity") / 5 + 0.0137).alias("dur"), F.col("l_returnflag").alias("speaker"), "l_partkey")
 
 
-_DURATIONS = """d0 AS (SELECT l_suppkey AS rec_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS seq, l_quantity / 5 + 0.0137::DOUBLE AS dur, l_returnflag AS speaker, l_partkey FROM lineitem), d AS (SELECT * FROM d0 WHERE seq < 60),
+_DURATIONS = """d AS MATERIALIZED (SELECT l_suppkey AS rec_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS seq, l_quantity / 5 + 0.0137::DOUBLE AS dur, l_returnflag AS speaker, l_partkey FROM lineitem),
 l AS (SELECT *, lag(speaker) OVER (PARTITION BY rec_id ORDER BY seq) AS before FROM d)"""
 
 
@@ -185,7 +185,7 @@ def _chunked(spark, sf_dir):
 
 
 _CHUNKED = _DURATIONS + """, w AS (SELECT *, CAST(seq // 4 AS INTEGER) AS chunk, coalesce(sum(dur) OVER (PARTITION BY rec_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg_t0 FROM d),
-x AS (SELECT *, coalesce(sum(dur + 0.1::DOUBLE) OVER (PARTITION BY rec_id, chunk ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM w)"""
+x AS MATERIALIZED (SELECT *, coalesce(sum(dur + 0.1::DOUBLE) OVER (PARTITION BY rec_id, chunk ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM w)"""
 
 
 @query("chunk_windows", "WITH " + _CHUNKED + " SELECT rec_id, seq, chunk, round(lo, 4) AS lo, round(lo + dur, 4) AS hi FROM x")
@@ -199,9 +199,9 @@ def _phrases(spark, sf_dir):
     return d.select("rec_id", F.floor(F.col("seq") / 4).cast("int").alias("chunk"), F.col("seq").alias("phrase_id"), t0.alias("t0"), (t0 + 0.5).alias("t1"), F.concat(F.lit(" p"), "seq", F.lit(" ")).alias("text"), F.when(F.col("seq") % 3 == 0, "").otherwise(F.col("speaker")).alias("language"))
 
 
-_PHRASES = _CHUNKED + """, ph AS (SELECT rec_id, CAST(seq // 4 AS INTEGER) AS chunk, seq AS phrase_id, (l_partkey % 200) / 8.0::DOUBLE + 0.03 AS t0, (l_partkey % 200) / 8.0::DOUBLE + 0.03 + 0.5 AS t1, 'p' || seq AS text, CASE WHEN seq % 3 <> 0 THEN speaker END AS language FROM d WHERE seq % 2 = 0),
+_PHRASES = _CHUNKED + """, ph AS MATERIALIZED (SELECT rec_id, CAST(seq // 4 AS INTEGER) AS chunk, seq AS phrase_id, (l_partkey % 200) / 8.0::DOUBLE + 0.03 AS t0, (l_partkey % 200) / 8.0::DOUBLE + 0.03 + 0.5 AS t1, 'p' || seq AS text, CASE WHEN seq % 3 <> 0 THEN speaker END AS language FROM d WHERE seq % 2 = 0),
 j AS (SELECT ph.*, x.seq, x.lo, x.lo + x.dur AS hi, x.seg_t0, (ph.t0 + ph.t1) / 2 AS m FROM ph JOIN x ON x.rec_id = ph.rec_id AND x.chunk = ph.chunk),
-k AS (SELECT *, row_number() OVER (PARTITION BY rec_id, chunk, phrase_id ORDER BY CASE WHEN m >= lo AND m <= hi THEN -1 ELSE least(abs(m - lo), abs(m - hi)) END, seq) AS r FROM j)"""
+k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY rec_id, chunk, phrase_id ORDER BY CASE WHEN m >= lo AND m <= hi THEN -1 ELSE least(abs(m - lo), abs(m - hi)) END, seq) AS r FROM j)"""
 
 
 @query("phrase_assign", "WITH " + _PHRASES + " SELECT rec_id, phrase_id, seq, round(seg_t0 + greatest(0, t0 - lo), 4) AS at0, round(seg_t0 + greatest(0, t1 - lo), 4) AS at1 FROM k WHERE r = 1")
@@ -223,3 +223,15 @@ def segment_gate(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     model = F.when(F.col("event_type") != "error", F.col("event_type"))
     return e.select("event_id", asr.gated(F.lit(0.0), F.col("value") / 1000, model).alias("text")).where("text IS NOT NULL")
+
+
+@query("joined_sound", """
+WITH p AS (SELECT a.vec_id AS seq, a.embedding AS a, b.embedding AS b, greatest(0, CAST(round_even((a.vec_id % 5 - 1) / 8.0 * 20, 0) AS INTEGER)) AS gap FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT seq, CAST(len(a) + gap + len(b) AS INTEGER) AS n, gap, round(b[1], 5) AS after, round(a[len(a)], 5) AS before FROM p""")
+def joined_sound(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), "embedding")
+    pairs = e.select("seq", F.col("embedding").alias("a")).join(e.select((F.col("seq") - 1).alias("seq"), F.col("embedding").alias("b")), "seq")
+    joined = pairs.select("seq", F.size("a").alias("na"), F.size("b").alias("nb"), eot.joined_sound(F.col("a"), F.col("b"), (F.col("seq") % 5 - 1) / 8, 20).alias("x"))
+    gap = F.size("x") - F.col("na") - F.col("nb")
+    at = lambda k: F.round(F.element_at("x", k.cast("int")).cast("double"), 5)
+    return joined.select("seq", F.size("x").alias("n"), gap.alias("gap"), at(F.col("na") + gap + 1).alias("after"), at(F.col("na")).alias("before"))

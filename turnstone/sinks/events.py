@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.operators.base import over
+from turnstone.operators.base import fixed, over
 
 log = logging.getLogger(__name__)
 
@@ -19,8 +19,8 @@ def jsonl(events: DataFrame, name: str = "value") -> DataFrame:
 
 
 def human_line(t0: Column, t1: Column, speaker: Column, text: Column) -> Column:
-    """``[  12.34s ->   15.00s  S0]  text``; times that end in half a hundredth round up."""
-    return F.format_string("[%7.2fs -> %7.2fs  %s]  %s", t0, t1, speaker, text)
+    """``[  12.34s ->   15.00s  S0]  text``."""
+    return F.format_string("[%7ss -> %7ss  %s]  %s", fixed(t0, 2), fixed(t1, 2), speaker, text)
 
 
 def response(events: DataFrame, order: list[str], keys: list[str] | None = None) -> DataFrame:

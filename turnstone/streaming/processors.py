@@ -4,7 +4,9 @@ Rows of a key are folded in the order of ``seq``, within a micro-batch and
 across: rows ahead of the next expected number wait in the state, rows behind
 it are late and dropped. A row with ``is_last`` (or silence longer
 than ``idle_ms`` of processing time) ends the recording and lets go of what is
-held. Batch and stream share one fold each, so their results are equal.
+held, rows that waited behind a lost one too, so a lost row stalls no recording
+for longer than it speaks. None for ``idle_ms`` waits for ever. Batch and stream
+share one fold each, so their results are equal.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from turnstone.operators.diarize import UNKNOWN, Clusterer
 from turnstone.operators.summary import Analyst, extract
 
 _STATE = "body binary"
+#: Silence that ends a recording.
+IDLE_MS = 600_000
 
 
-def keyed_fold(stream: DataFrame, key: str, start: Callable[[], Any], step: Callable[[Any, Any], list[tuple]], finish: Callable[[Any], list[tuple]], schema: str, *, idle_ms: int | None = None) -> DataFrame:
+def keyed_fold(stream: DataFrame, key: str, start: Callable[[], Any], step: Callable[[Any, Any], list[tuple]], finish: Callable[[Any], list[tuple]], schema: str, *, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """``step(state, row)`` and ``finish(state)`` give result rows without the key; rows need ``seq`` (from 0) and ``is_last``."""
     names = [c.split()[0] for c in schema.split(", ")]
     kind = stream.schema[key].dataType.simpleString()
@@ -92,14 +96,14 @@ class VoiceRun:
         return self.close(self.total) if self.start is not None else []
 
 
-def voiced_segments(stream: DataFrame, *, key: str = "rec_id", threshold: float = 0.5, min_silence_ms: float = 300, min_speech_ms: float = 300, edge_pad_ms: float = 200, sample_rate: int = 16_000, window: int = 512, idle_ms: int | None = None) -> DataFrame:
+def voiced_segments(stream: DataFrame, *, key: str = "rec_id", threshold: float = 0.5, min_silence_ms: float = 300, min_speech_ms: float = 300, edge_pad_ms: float = 200, sample_rate: int = 16_000, window: int = 512, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Windows (seq, start_sample, score, is_last) -> ``seg_id, t0, t1``."""
     return keyed_fold(
         stream, key, lambda: VoiceRun(threshold, min_silence_ms, min_speech_ms, edge_pad_ms, sample_rate, window), lambda s, r: s.add(int(r.start_sample), float(r.score)), lambda s: s.finish(), "seg_id bigint, t0 double, t1 double", idle_ms=idle_ms
     )
 
 
-def online_cluster(stream: DataFrame, *, key: str = "rec_id", join_threshold: float = 0.3, ema_alpha: float = 0.1, min_segment_ms: float = 500, max_speakers: int | None = None, idle_ms: int | None = None) -> DataFrame:
+def online_cluster(stream: DataFrame, *, key: str = "rec_id", join_threshold: float = 0.3, ema_alpha: float = 0.1, min_segment_ms: float = 500, max_speakers: int | None = None, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Segments (seq, t0, t1, embedding, is_last) -> ``seq, t0, t1, speaker``."""
 
     def step(state: Clusterer, row: Any) -> list[tuple]:
@@ -109,7 +113,7 @@ def online_cluster(stream: DataFrame, *, key: str = "rec_id", join_threshold: fl
     return keyed_fold(stream, key, lambda: Clusterer(join_threshold, ema_alpha, max_speakers), step, lambda s: [], "seq bigint, t0 double, t1 double, speaker string", idle_ms=idle_ms)
 
 
-def summaries(stream: DataFrame, *, key: str = "rec_id", recent_s: float = 60.0, flush_s: float | None = 60.0, flush_n: int = 5, summarise: Callable[[str, list[str]], str] = extract, idle_ms: int | None = None) -> DataFrame:
+def summaries(stream: DataFrame, *, key: str = "rec_id", recent_s: float = 60.0, flush_s: float | None = 60.0, flush_n: int = 5, summarise: Callable[[str, list[str]], str] = extract, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Utterances (seq, t0, t1, speaker, text, is_last) -> ``t0, summary, recent, flushes, is_final``."""
 
     def step(state: Analyst, row: Any) -> list[tuple]:
@@ -142,6 +146,6 @@ class Holding:
         return [held] if held else []
 
 
-def merge_turns(stream: DataFrame, *, key: str = "rec_id", max_merge_s: float = 4.0, min_incomplete_ms: float = 800.0, idle_ms: int | None = None) -> DataFrame:
+def merge_turns(stream: DataFrame, *, key: str = "rec_id", max_merge_s: float = 4.0, min_incomplete_ms: float = 800.0, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Segments (seq, t0, t1, complete, is_last) -> ``first_seq, last_seq, t0, t1``."""
     return keyed_fold(stream, key, lambda: Holding(max_merge_s, min_incomplete_ms), lambda s, r: s.add(int(r.seq), r.t0, r.t1, bool(r.complete)), lambda s: s.finish(), "first_seq bigint, last_seq bigint, t0 double, t1 double", idle_ms=idle_ms)
