@@ -5,8 +5,9 @@ across: rows ahead of the next expected number wait in the state, rows behind
 it are late and dropped. A row with ``is_last`` (or silence longer
 than ``idle_ms`` of processing time) ends the recording and lets go of what is
 held, rows that waited behind a lost one too, so a lost row stalls no recording
-for longer than it speaks. None for ``idle_ms`` waits for ever. Batch and stream
-share one fold each, so their results are equal.
+for longer than it speaks. None for ``idle_ms`` waits for ever; a query with the
+trigger ``availableNow`` needs it, since timeouts keep a query running. Batch
+and stream share one fold each, so their results are equal.
 """
 
 from __future__ import annotations
