@@ -1 +0,0 @@
-"""Functions of the engine, as DataFrame transforms."""

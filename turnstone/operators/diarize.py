@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstone.operators.base import dot, islands, ordered_fold, over, overlap_join, preceding, unit
+from turnstone.functions.columns import dot, unit
+from turnstone.operators.base import islands, ordered_fold, over, overlap_join, preceding
 
 UNKNOWN = "S?"
 JOIN_THRESHOLD, EMA_ALPHA, MIN_SEGMENT_MS, MIN_CLUSTER, STITCH_THRESHOLD = 0.3, 0.1, 500.0, 2, 0.35

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.operators.base import dot, over, preceding, unit
+from turnstone.functions.columns import dot, unit
+from turnstone.operators.base import over, preceding
 
 BANDS_MS, TOLERANCE_MS = (300, 600, 1200), 50
 

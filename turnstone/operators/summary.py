@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.operators.base import fixed, ordered_rows, over
+from turnstone.functions.columns import fixed
+from turnstone.operators.base import ordered_rows, over
 
 RECENT_S, FLUSH_S, FLUSH_N = 60.0, 60.0, 5
 

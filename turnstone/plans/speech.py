@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnstone.operators import asr, diarize, eot
-from turnstone.operators.base import over, preceding, unit
+from turnstone.functions.columns import unit
+from turnstone.operators.base import over, preceding
 from turnstone.plans.capture import read
 
 QUERIES, SQL = {}, {}

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.operators.base import fixed, over
+from turnstone.functions.columns import fixed
+from turnstone.operators.base import over
 
 log = logging.getLogger(__name__)
 
