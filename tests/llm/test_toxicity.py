@@ -157,3 +157,15 @@ def test_long_texts_and_ties(spark):
     r = T.scores(spark.createDataFrame([(1, long)], "doc_id bigint, text string"), m).first()
     assert r.n_windows == 1 + -(-(200_000 - T.WINDOW) // T.STEP) and r.worst_at == 0
     assert T.without_toxic(spark.createDataFrame([(1, long)], "doc_id bigint, text string"), m).count() == int(not r.toxic)
+
+
+def test_every_labelled_document_is_learned_from(spark):
+    """A word of all toxic documents that the start doesn't see, vocabulary of all documents, weighted threshold."""
+    rnd = random.Random(4)
+    vocabulary = ["".join(rnd.choice("aeioubcdlmnrst") for _ in range(6)) for _ in range(300)]
+    docs = [(k, " ".join([rnd.choice(vocabulary) for _ in range(24)] + (["zqxvjk"] if k % 3 == 0 else ["ordinary"]))) for k in range(600)]
+    d, labels = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in docs], "doc_id bigint, toxic int")
+    m = T.fit(d, labels, toxic_docs=32, clean_docs=32)
+    assert T.tokens(pa.array(["zqxvjk"])).hash[0] in m.vocabulary and len(m.vocabulary) >= 300
+    assert np.mean([r.toxic == (r.doc_id % 3 == 0) for r in T.scores(d, m).collect()]) >= 0.95
+    assert T.best_threshold(np.array([5.0, -1.0, 4.0]), np.array([1, 0, 0]), np.array([1, 9, 50])) == T.best_threshold(np.array([5.0] + [-1.0] * 9 + [4.0] * 50), np.array([1] + [0] * 59))
