@@ -287,8 +287,8 @@ def train(texts: list[str], docs: np.ndarray, labels: np.ndarray, vocabulary: np
     return model
 
 
-def _learn_all(model: Model, texts: pa.Array, labels: np.ndarray, rng: np.random.Generator) -> int:
-    """Whole texts in windows that tile them, learned from once; of a toxic text only the windows that score highest. The number of windows."""
+def _learn_all(model: Model, texts: pa.Array, labels: np.ndarray, rng: np.random.Generator, times: int) -> int:
+    """Whole texts in windows that tile them, learned from ``times`` times; of a toxic text only the windows that score highest. The number of windows."""
     t = tokens(texts)
     doc, start, size = spans(t.first, step=WINDOW)
     if not len(doc):
@@ -305,16 +305,19 @@ def _learn_all(model: Model, texts: pa.Array, labels: np.ndarray, rng: np.random
         types, grams, at, places = _batch(t, index(rows))
         score[rows] = model.forward(model.inputs(ids[types], grams, at), places, size[rows])
     np.maximum.at(best, doc, score)
-    order = rng.permutation(np.flatnonzero((labels[doc] < 0.5) | (score >= best[doc] - 1.0)))
-    for lo in range(0, len(order), SHARD_BATCH):
-        rows = order[lo : lo + SHARD_BATCH]
-        types, grams, at, places = _batch(t, index(rows))
-        own = np.where(rng.random(len(types)) < 0.1, 0, ids[types])
-        model.learn(own, grams, at, places, size[rows], labels[doc[rows]], SHARD_RATE)
-    return len(order)
+    chosen = np.flatnonzero((labels[doc] < 0.5) | (score >= best[doc] - 1.0))
+    step = min(SHARD_BATCH, max(BATCH, len(chosen) // 16))
+    for _ in range(times):
+        order = rng.permutation(chosen)
+        for lo in range(0, len(order), step):
+            rows = order[lo : lo + step]
+            types, grams, at, places = _batch(t, index(rows))
+            own = np.where(rng.random(len(types)) < 0.1, 0, ids[types])
+            model.learn(own, grams, at, places, size[rows], labels[doc[rows]], SHARD_RATE)
+    return len(chosen)
 
 
-def _trained(start: Model):
+def _trained(start: Model, times: int):
     """(shard, label, text), a shard's rows together -> its parameters in rows of ``BLOCK`` numbers, with the windows it learned from."""
 
     def rows(shard: int, model: Model, many: int) -> pa.RecordBatch:
@@ -334,7 +337,7 @@ def _trained(start: Model):
                             yield rows(shard, model, many)
                         shard, many, rng = int(of[lo]), 0, np.random.default_rng([SEED, int(of[lo])])
                         model = Model(start.vocabulary, {k: v.copy() for k, v in start.p.items()})
-                    many += _learn_all(model, batch.column(2).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo).to_numpy().astype(np.float32), rng)
+                    many += _learn_all(model, batch.column(2).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo).to_numpy().astype(np.float32), rng, times)
         if many:
             yield rows(shard, model, many)
 
@@ -446,9 +449,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     _, docs_of = np.unique([r["id"] for r in rows], return_inverse=True)
     model = train([r["text"] for r in rows], docs_of, np.array([r["label"] for r in rows], np.float32), vocabulary)
     # all of them
-    shards = -(-sum(n for (_, h), n in counts.items() if not h) // SHARD)
+    many = sum(n for (_, h), n in counts.items() if not h)
+    shards, times = -(-many // SHARD), max(1, 4 * SHARD // many)  # few documents are gone over more often
     shard = learned.select(F.expr(f"CAST(pmod(xxhash64(id, {SEED + 1}), {shards}) AS int)").alias("shard"), "id", "label", "text").repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("id"), "id", "text")
-    parts = shard.select("shard", "label", "text").mapInArrow(_trained(model), "block bigint, shard bigint, many bigint, part binary")
+    parts = shard.select("shard", "label", "text").mapInArrow(_trained(model, times), "block bigint, shard bigint, many bigint, part binary")
     mean = parts.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_averaged, "block bigint, part binary").orderBy("block").collect()
     flat, at = np.concatenate([np.frombuffer(r["part"], np.float32) for r in mean]), 0
     for k in sorted(model.p):
