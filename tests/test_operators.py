@@ -410,3 +410,35 @@ def test_fold_keeps_groups_whole_over_batches(spark):
         assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def medians_of_pairs(rows):
+    """(intra, inter) by a loop over all pairs."""
+    found = {True: [], False: []}
+    for i, s, e in rows:
+        for j, z, f in rows:
+            if i < j and s is not None and z is not None and e is not None and f is not None and len(e) == len(f):
+                x, y = np.asarray(e, float), np.asarray(f, float)
+                a, b = np.linalg.norm(x) or 1, np.linalg.norm(y) or 1
+                found[s == z].append(1 - x / a @ (y / b))
+    return [float(np.median(found[k])) if found[k] else None for k in (True, False)]
+
+
+def test_separability_of_blocks(spark):
+    """Over blocks, equal positions, missing and unlike vectors, and distances that differ in their last bits only."""
+    rng = np.random.default_rng(5)
+    recs = {"even": [(k, int(rng.integers(3)), rng.normal(size=6).tolist()) for k in range(150)]}
+    recs["odd"] = [(int(k // 2), "ab"[k % 2] == "a" and 1 or None if k % 7 == 0 else k % 2, None if k % 11 == 0 else rng.normal(size=4 if k % 13 else 3).tolist()) for k in range(70)] + [(100, 1, [0.0] * 4)]
+    recs["near"] = [(k, k % 2, (np.ones(5) + 1e-6 * rng.normal(size=5)).tolist()) for k in range(260)]
+    recs["unlabelled"] = [(k, None, [1.0]) for k in range(3)]
+    recs["one place"] = [(1, 0, [1.0, 2.0]), (1, 0, [2.0, 1.0])]
+    df = spark.createDataFrame([(r, *x) for r, rows in recs.items() for x in rows] + [(None, 1, 0, [1.0]), (None, 2, 0, [1.0])], "rec_id string, seq int, speaker int, embedding array<double>")
+    out = metrics.separability(df, block=40)
+    assert "percentile" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "median" not in plan  # no list of all pairs
+    got = {r.rec_id: (r.intra, r.inter, r.margin) for r in out.collect()}
+    assert set(got) == set(recs) - {"one place"}
+    for r, (intra, inter, margin) in got.items():
+        want = medians_of_pairs(recs[r])
+        assert [intra, inter] == (want if None in want else [pytest.approx(x, rel=1e-12, abs=4e-16) for x in want]), r
+        assert margin == (None if intra is None or inter is None else inter - intra)
+    assert np.isnan(metrics.separability(spark.createDataFrame([("r", k, 0, [x, 1.0]) for k, x in enumerate((1.0, math.inf, math.nan))], "rec_id string, seq int, speaker int, embedding array<double>")).first().intra)

@@ -48,12 +48,13 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], *, how:
     return both.where(meet & (F.col("bucket") == F.floor(F.greatest(F.col(l0), F.col(r0)) / bucket_s))).drop("bucket")
 
 
-def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str, parts: int | None = None) -> DataFrame:
     """One pass over each key's rows in order, in Python: for accumulations that reset by their own value and so are no window function.
 
     One shuffle and sort by key; a task then walks through its keys, so that
     many short recordings cost little more than their rows, and holds one
-    recording at a time beside the current batch.
+    recording at a time beside the current batch. ``parts``: number of tasks
+    where the work is more than the bytes tell, which else decide.
     """
     names = list(keys)
 
@@ -83,7 +84,8 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold:
         if held:
             yield from ended()
 
-    return df.repartition(*names).sortWithinPartitions(*names, *order).mapInPandas(run, schema)
+    dealt = df.repartition(*names) if parts is None else df.repartition(parts, *names)
+    return dealt.sortWithinPartitions(*names, *order).mapInPandas(run, schema)
 
 
 def ordered_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Callable[[dict[str, list]], list[tuple]], schema: str) -> DataFrame:

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.functions.columns import dot, unit
-from turnstone.operators.base import over, preceding
+from turnstone.operators.base import ordered_fold, over, preceding, upto
 
 BANDS_MS, TOLERANCE_MS = (300, 600, 1200), 50
+#: Of ``separability``: vectors of a block, rows taken at once, distances a vector that may be listed, bits left off by each count, what stands for a distance that is no number.
+BLOCK, TILE, FEW, BITS, NO_NUMBER = 4096, 128, 64, (42, 22, 0), 256.0
 
 
 def false_cutoff_rate(latency: Column, tolerance_s: float) -> Column:
@@ -147,13 +150,126 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(words(a), words(b))) / both)
 
 
-def separability(vectors: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), order: str = "seq", label: str = "speaker") -> DataFrame:
-    """``keys, intra, inter, margin``: median cosine distances within and between speakers, over all pairs."""
-    v = vectors.select(*keys, F.col(order).alias("i"), F.col(label).alias("s"), unit(F.col("embedding")).alias("e"))
-    other = v.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("i").alias("j"), F.col("s").alias("z"), F.col("e").alias("f"))
-    far = v.join(other, [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("i") < F.col("j")]).withColumn("d", 1 - dot(F.col("e"), F.col("f")))
-    same = F.col("s") == F.col("z")
-    out = far.groupBy(*keys).agg(F.median(F.when(same, F.col("d"))).alias("intra"), F.median(F.when(~same, F.col("d"))).alias("inter"))
+def pair_bins(x: np.ndarray, codes: np.ndarray, rank: np.ndarray, cut: int, ranges: dict[int, tuple[int | None, float, float, int]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Cosine distances counted by bin, for pairs of one label (1) and of two (0): those of rows before ``cut`` with rows from there on or, with ``cut`` 0, of all rows with rows of higher ``rank``.
+
+    Distances are whole multiples of 2^-53, since they are 1 minus a product; a
+    bin leaves off their last ``to`` bits. ``ranges``: (at, lo, hi, to) by kind,
+    only bins lo to hi without the last ``at`` bits count (None: all). A distance
+    that is no number counts as NO_NUMBER.
+    """
+    left, right = (slice(0, cut), slice(cut, None)) if cut else (slice(None), slice(None))
+    a, b, ca, cb = x[left], x[right], codes[left], codes[right]
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in ranges}
+    for k in range(0, len(a), TILE):
+        d = 1.0 - a[k : k + TILE] @ b.T
+        d[np.isnan(d)] = NO_NUMBER
+        same = ca[k : k + TILE, None] == cb[None, :]
+        later = None if cut else rank[k : k + TILE, None] < rank[None, :]
+        for kind, (at, lo, hi, to) in ranges.items():
+            of = same if kind else ~same
+            y = d[of if later is None else of & later]
+            if at is not None:
+                z = np.floor(y * 2.0 ** (53 - at))
+                y = y[(z >= lo) & (z <= hi)]
+            if len(y):
+                z = np.floor(y * 2.0 ** (53 - to)).astype(np.int64)
+                least = z.min()
+                if z.max() - least < 1 << 16:
+                    n = np.bincount(z - least)
+                    at_ = np.flatnonzero(n)
+                    found[kind].append((at_ + least, n[at_]))
+                else:
+                    found[kind].append(np.unique(z, return_counts=True))
+    out = {}
+    for kind, parts in found.items():
+        if parts:
+            bins, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            out[kind] = bins, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
+    return out
+
+
+def separability(vectors: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), order: str = "seq", label: str = "speaker", block: int = BLOCK) -> DataFrame:
+    """``keys, intra, inter, margin``: median cosine distances within and between speakers, over all pairs.
+
+    Exact, and no pair is kept: a recording's vectors are dealt to blocks, each
+    two blocks meet in one place and count their distances by bin. The bins that
+    hold the median are counted again with more bits, three times at most, the
+    last one without rest; earlier where at most 64 distances a vector are left.
+    Time grows with the square of a recording; a task holds two blocks.
+
+    Vectors of equal ``order`` are no pair. Those without label, or without
+    embedding or with a null in it, have no distance, nor have two of different
+    lengths; a zero vector is at distance 1.
+    """
+    named = [F.col(k).isNotNull() for k in keys]
+    v = vectors.select(*keys, F.col(order).alias("i"), F.col(label).alias("s"), F.col("embedding").alias("e")).where(reduce(and_, named, F.col("i").isNotNull()))
+    size = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("_a"), F.max("i").alias("_b")).where("_a < _b").drop("_a", "_b")
+    usable = v.where(F.col("s").isNotNull() & F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull())).withColumnsRenamed({k: f"_{k}" for k in keys})
+    state = ["at", "lo", "hi", "rank", "two", "to"]
+    kinds = ", ".join(f"{k} {vectors.schema[k].dataType.simpleString()}" for k in keys)
+    parts = 4 * vectors.sparkSession.sparkContext.defaultParallelism
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        first = part.iloc[0]
+        told = {kind: {c: None if pd.isna(first[f"{c}{kind}"]) else int(first[f"{c}{kind}"]) for c in state} for kind in (0, 1)}
+        rows = []
+        if first["e"] is None:  # the medians are found
+            for kind, t in told.items():
+                if t["lo"] is not None:
+                    bins = [(t["lo"], t["rank"] + 1 + (t["two"] if t["lo"] == t["hi"] else 0))] + [(t["hi"], 1)] * (t["lo"] != t["hi"])
+                    rows += [(kind, 0, t["rank"], t["two"], *x) for x in bins]
+        else:
+            begun = pd.notna(first["at0"]) or pd.notna(first["at1"])
+            ranges = {kind: (t["at"], t["lo"], t["hi"], t["to"]) for kind, t in told.items() if not begun or t["at"] is not None}
+            size, codes = part["e"].map(len).to_numpy(), pd.factorize(part["s"])[0]
+            rank, own = (part["i"] != part["i"].shift()).cumsum().to_numpy(), part["block"].to_numpy()
+            for dim in np.unique(size):
+                at = np.flatnonzero(size == dim)
+                x = np.stack([np.asarray(e, np.float64) for e in part["e"].iloc[at]])
+                with np.errstate(all="ignore"):
+                    length = np.sqrt((x * x).sum(1, keepdims=True))
+                    x = np.where(length > 0, x / np.where(length > 0, length, 1), x)
+                    cut = 0 if first["u"] == first["w"] else int((own[at] == first["u"]).sum())
+                    if first["u"] == first["w"] or 0 < cut < len(at):
+                        for kind, (bins, n) in pair_bins(x, codes[at], rank[at], cut, ranges).items():
+                            rows += [(kind, told[kind]["to"], told[kind]["rank"], told[kind]["two"], *y) for y in zip(bins.tolist(), n.tolist(), strict=True)]
+        out = pd.DataFrame(rows, columns=["kind", "at", "rank", "two", "bin", "m"]).astype({"rank": "Int64", "two": "Int64"})
+        for k in reversed([*keys, "n"]):
+            out.insert(0, k, first[k])
+        return out
+
+    def narrowed(now: DataFrame, then: int) -> DataFrame:
+        done = reduce(and_, [F.coalesce(F.col(f"at{k}") == 0, F.col(f"any{k}") == 0) for k in (0, 1)])
+        met = now.withColumn("_done", done).join(usable, reduce(and_, [F.col(k) == F.col(f"_{k}") for k in keys], ~F.col("_done")), "left")
+        blocks = F.ceil(F.col("n") / block)
+        last = F.when(F.col("e").isNull(), F.lit(0).cast("bigint")).otherwise(blocks - 1)
+        own = F.coalesce(F.pmod(F.xxhash64("i"), blocks), F.lit(0))
+        units = met.withColumns({"block": own, "c": F.explode(F.sequence(F.lit(0).cast("bigint"), last))}).withColumns({"u": F.least("block", "c"), "w": F.greatest("block", "c")})
+        units = units.select(*keys, "u", "w", "block", "n", "i", "s", "e", *[f"{c}{k}" for c in state for k in (0, 1)])
+        told = ordered_fold(units, [*keys, "u", "w"], ["block", "i"], fold, f"{kinds}, n bigint, kind int, at int, rank bigint, two int, bin bigint, m bigint", parts)
+        each = [*keys, "n", "kind", "at", "rank", "two"]
+        bins = told.groupBy(*each, "bin").agg(F.sum("m").alias("m"))
+        total = F.sum("m").over(over([*keys, "kind"]))
+        bins = bins.withColumns({"rank": F.coalesce("rank", F.floor((total - 1) / 2)), "two": F.coalesce("two", (1 - total % 2).cast("int")), "upto": F.sum("m").over(upto([*keys, "kind"], ["bin"]))})
+        low, high = F.col("upto") > F.col("rank"), F.col("upto") > F.col("rank") + F.col("two")
+        found = bins.groupBy(*each).agg(F.coalesce(F.min(F.when(low, F.col("bin"))), F.max("bin")).alias("lo"), F.coalesce(F.min(F.when(high, F.col("bin"))), F.max("bin")).alias("hi"), F.coalesce(F.max(F.when(~low, F.col("upto"))), F.lit(0)).alias("under"), F.coalesce(F.min(F.when(high, F.col("upto"))), F.max("upto")).alias("upto"))
+        found = found.withColumns({"rank": F.col("rank") - F.col("under"), "to": F.when(F.col("upto") - F.col("under") <= FEW * F.col("n"), 0).otherwise(then)})
+        wide = found.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("kind") == k, F.struct(*state))).alias(f"of{k}") for k in (0, 1)])
+        return wide.select(*keys, "n", *[F.col(f"of{k}.{c}").alias(f"{c}{k}") for c in state for k in (0, 1)], *[F.col(f"of{k}").isNotNull().cast("int").alias(f"any{k}") for k in (0, 1)])
+
+    start = F.when((F.col("n") - 1) / 2 <= FEW, 0).otherwise(BITS[0])
+    nothing = {c: F.lit(None).cast("bigint") for c in state[:-1]} | {"to": start}
+    found = size.select(*keys, "n", *[nothing[c].alias(f"{c}{k}") for c in state for k in (0, 1)], *[F.lit(1).alias(f"any{k}") for k in (0, 1)])
+    for then in BITS[1:]:
+        found = narrowed(found, then)
+    found = narrowed(found, 0)
+
+    def value(k: int) -> Column:
+        lo, hi = F.col(f"lo{k}").cast("double"), F.col(f"hi{k}").cast("double")
+        return F.when(hi >= NO_NUMBER * 2.0**53, F.lit(float("nan"))).otherwise((lo + hi) / 2.0**54)
+
+    out = size.select(*keys).join(found.select(*keys, value(1).alias("intra"), value(0).alias("inter")), [*keys], "left")
     return out.withColumn("margin", F.col("inter") - F.col("intra"))
 
 
