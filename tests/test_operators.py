@@ -1,6 +1,8 @@
 """Golden cases of single operators, and folds against plain loops."""
 
 import math
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -442,3 +444,35 @@ def test_separability_of_blocks(spark):
         assert [intra, inter] == (want if None in want else [pytest.approx(x, rel=1e-12, abs=4e-16) for x in want]), r
         assert margin == (None if intra is None or inter is None else inter - intra)
     assert np.isnan(metrics.separability(spark.createDataFrame([("r", k, 0, [x, 1.0]) for k, x in enumerate((1.0, math.inf, math.nan))], "rec_id string, seq int, speaker int, embedding array<double>")).first().intra)
+
+
+def linkage_by_matrix(x, threshold):
+    """Average linkage over a matrix of all distances."""
+    groups = [[k] for k in range(len(x))]
+    d = 1.0 - x @ x.T
+    while len(groups) > 1:
+        far, a, b = min((d[np.ix_(g, h)].mean(), a, b) for a, g in enumerate(groups) for b, h in enumerate(groups[:a]))
+        if far >= threshold:
+            break
+        groups[b] += groups.pop(a)
+    groups.sort(key=min)
+    return [next(k for k, g in enumerate(groups) if j in g) for j in range(len(x))]
+
+
+def test_average_linkage_against_a_matrix():
+    rng = np.random.default_rng(3)
+    for n, dim, threshold in ((1, 3, 0.5), (30, 3, 0.3), (40, 8, 0.9), (25, 2, 1.9), (40, 4, 0.6)):
+        x = rng.normal(size=(n, dim))
+        x[n // 2 :] = x[: n - n // 2] + 0.1 * (dim % 3) * rng.normal(size=(n - n // 2, dim))  # copies, exact or near
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert diarize.average_linkage(x, threshold).tolist() == linkage_by_matrix(x, threshold)
+
+
+def test_average_linkage_holds_no_matrix():
+    x = np.random.default_rng(4).normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    groups = diarize.average_linkage(x, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 1 < groups.max() < 1499 and peak < 6e6  # a matrix has 18 MB

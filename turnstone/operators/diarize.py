@@ -142,28 +142,63 @@ def chunk_plan(recordings: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), du
 
 
 def average_linkage(x: np.ndarray, threshold: float) -> np.ndarray:
-    """Group of each unit vector: average-linkage clustering on cosine distances, merged while the nearest groups are closer than ``threshold``; groups are numbered by their first member."""
-    n = len(x)
-    d = np.clip(1.0 - x @ x.T, 0.0, 2.0)
-    np.fill_diagonal(d, np.inf)
-    size, member = np.ones(n), np.arange(n)
-    alive = np.ones(n, bool)
-    while alive.sum() > 1:
-        a, b = divmod(int(np.argmin(d)), n)
-        if not d[a, b] < threshold:
+    """Group of each unit vector: average-linkage clustering on cosine distances, merged while the nearest groups are closer than ``threshold``; groups are numbered by their first member.
+
+    The average distance of two groups is 1 minus the product of their means, so
+    means are kept and no matrix of distances: memory grows with the vectors,
+    time with their square. Each group knows its nearest later one. Merging never
+    brings groups closer, so what a group knew stays a lower bound when that one
+    is gone, and it is looked for again only when its turn comes. A vector that
+    holds no numbers stays alone.
+    """
+    ids = np.arange(len(x))
+    parent, mean, size = ids.copy(), np.array(x, np.float64), np.ones(len(x))
+    near, host, stale = np.full(len(x), np.inf), ids.copy(), np.ones(len(x), bool)
+
+    def look(rows: np.ndarray) -> None:
+        """Nearest of the later groups for ``rows``, in ascending order."""
+        first = int(rows[0]) + 1
+        d = np.maximum(1.0 - mean[rows] @ mean[first:].T, 0.0)
+        d[np.isnan(d)] = np.inf
+        d[:, size[first:] == 0] = np.inf
+        for k, row in enumerate(rows[1:] - rows[0], 1):
+            d[k, :row] = np.inf
+        if d.shape[1]:
+            to = d.argmin(1)
+            near[rows], host[rows] = d[np.arange(len(rows)), to], to + first
+        stale[rows] = False
+
+    for k in range(0, len(ids), 64):
+        look(np.arange(k, min(k + 64, len(ids))))
+    gone = 0
+    while len(ids):
+        a = int(np.argmin(near))
+        if not near[a] < threshold:
             break
-        a, b = min(a, b), max(a, b)
-        row = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-        d[a], d[:, a] = row, row
-        d[a, a], d[b], d[:, b] = np.inf, np.inf, np.inf
+        if stale[a]:
+            rows = np.flatnonzero(stale & (near <= np.min(near, where=~stale, initial=np.inf)) & (near < threshold))
+            look(np.sort(rows[np.argsort(near[rows], kind="stable")[:64]]))
+            continue
+        b = int(host[a])
+        mean[a] = (size[a] * mean[a] + size[b] * mean[b]) / (size[a] + size[b])
         size[a] += size[b]
-        alive[b] = False
-        member[member == b] = a
-    return np.unique(member, return_inverse=True)[1]
+        size[b], near[b], stale[b], parent[ids[b]] = 0, np.inf, False, ids[a]
+        stale[: b][((host[:b] == a) | (host[:b] == b)) & (size[:b] > 0) & (near[:b] < np.inf)] = True
+        look(np.array([a]))
+        gone += 1
+        if gone > 64 and gone > len(ids) // 4:
+            kept = np.flatnonzero(size > 0)
+            place = np.full(len(ids), -1)
+            place[kept] = np.arange(len(kept))
+            ids, mean, size, near, stale, host = ids[kept], mean[kept], size[kept], near[kept], stale[kept], place[host[kept]]
+            gone = 0
+    for k, up in enumerate(parent):  # a parent comes before its children
+        parent[k] = parent[up]
+    return np.unique(parent, return_inverse=True)[1]
 
 
 def stitch(spans: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), threshold: float = STITCH_THRESHOLD) -> DataFrame:
-    """Chunk-local speakers (chunk, speaker, embedding) -> one ``speaker`` over the recording; spans without embedding go."""
+    """Chunk-local speakers (chunk, speaker, embedding) -> one ``speaker`` over the recording; spans without embedding go. A task holds one recording's vectors."""
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["chunk", "local"]).reset_index(drop=True)
@@ -174,7 +209,8 @@ def stitch(spans: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), threshold:
 
     kinds = ", ".join(f"{k} {spans.schema[k].dataType.simpleString()}" for k in keys)
     once = spans.where("embedding IS NOT NULL").select(*keys, F.col("chunk").cast("int").alias("chunk"), F.col("local").cast("string").alias("local"), "embedding").dropDuplicates([*keys, "chunk", "local"])
-    return once.groupBy(*keys).applyInPandas(fold, f"{kinds}, chunk int, local string, speaker string")
+    parts = 16 * spans.sparkSession.sparkContext.defaultParallelism  # long recordings are few bytes and much work
+    return once.repartition(parts, *keys).groupBy(*keys).applyInPandas(fold, f"{kinds}, chunk int, local string, speaker string")
 
 
 def merge_spans(spans: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), order: tuple[str, ...] = ("t0", "seq"), slack: float = 1e-3) -> DataFrame:
