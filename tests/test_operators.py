@@ -476,3 +476,38 @@ def test_average_linkage_holds_no_matrix():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert 1 < groups.max() < 1499 and peak < 6e6  # a matrix has 18 MB
+
+
+def absorbed_step_by_step(regions, least):
+    rs = list(regions)
+    while True:
+        k = 1
+        while k < len(rs):
+            if rs[k][0] == rs[k - 1][0]:
+                rs[k - 1 : k + 1] = [(rs[k][0], rs[k - 1][1], rs[k][2])]
+            else:
+                k += 1
+        sizes = [b - a for _, a, b in rs]
+        if len(rs) < 2 or min(sizes) >= least:
+            return rs
+        k = sizes.index(min(sizes))
+        host = k + 1 if k == 0 or k + 1 < len(rs) and sizes[k + 1] > sizes[k - 1] else k - 1
+        rs[k] = (rs[host][0], *rs[k][1:])
+
+
+def regions_of(rng, n):
+    ends = np.cumsum(rng.integers(1, 12, n)).tolist()
+    return list(zip(rng.choice(list("abc"), n).tolist(), [0, *ends], ends, strict=False))
+
+
+def test_absorption_of_many_regions():
+    """As step by step, and a long recording in about its length of steps."""
+    rng = np.random.default_rng(6)
+    for n in [0, 1, 2, *range(3, 60)]:
+        regions = regions_of(rng, n)
+        assert language.absorbed(regions, 8) == absorbed_step_by_step(regions, 8)
+    regions = regions_of(rng, 30_000)
+    began = time.process_time()
+    out = language.absorbed(regions, 8)
+    assert time.process_time() - began < 10
+    assert min(b - a for _, a, b in out) >= 8 and all(x[0] != y[0] and x[2] == y[1] for x, y in zip(out, out[1:]))

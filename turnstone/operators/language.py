@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -110,21 +111,32 @@ def absorbed(regions: list[Region], least_s: float) -> list[Region]:
         return out
 
     rs = joined(regions)
-    while len(rs) > 1:
-        sizes = [end - start for _, start, end in rs]
-        k = sizes.index(min(sizes))
-        if sizes[k] >= least_s:
-            break
-        beside = [i for i in (k - 1, k + 1) if 0 <= i < len(rs)]
-        host = max(beside, key=sizes.__getitem__)
-        rs[k] = (rs[host][0], *rs[k][1:])
-        rs = joined(rs)
-    return rs
+    lang, start, end = ([r[k] for r in rs] for k in range(3))
+    left, right = list(range(-1, len(rs) - 1)), [*range(1, len(rs)), -1]
+    alive, n = [True] * len(rs), len(rs)
+    size = lambda k: end[k] - start[k]
+    short = [(size(k), k) for k in range(n) if size(k) < least_s]
+    heapq.heapify(short)
+    while short and n > 1:
+        length, k = heapq.heappop(short)
+        if not alive[k] or length != size(k):
+            continue
+        a, b = left[k], right[k]
+        lang[k] = lang[b] if a < 0 or b >= 0 and size(b) > size(a) else lang[a]
+        for first, second in ((k, b), (a, k)):
+            if first >= 0 and second >= 0 and lang[first] == lang[second]:
+                end[first], right[first], alive[second], k = end[second], right[second], False, first
+                if right[first] >= 0:
+                    left[right[first]] = first
+                n -= 1
+        if size(k) < least_s:
+            heapq.heappush(short, (size(k), k))
+    return [(lang[k], start[k], end[k]) for k in range(len(rs)) if alive[k]]
 
 
 def absorb_short(regions: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), min_region_s: float = MIN_REGION_S) -> DataFrame:
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        rs = absorbed(list(zip(part["lang"], part["t0"], part["t1"], strict=True)), min_region_s)
+        rs = absorbed(list(zip(*[part[c].tolist() for c in ("lang", "t0", "t1")], strict=True)), min_region_s)
         out = pd.DataFrame(rs, columns=["lang", "t0", "t1"])
         out.insert(0, "region_id", range(len(rs)))
         for k in reversed(keys):
