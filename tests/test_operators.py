@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from turnstone.operators import asr, diarize, eot, language, metrics, routing, summary, vad
-from turnstone.operators.base import overlap_join
+from turnstone.operators.base import dealt, overlap_join
 from turnstone.sinks import events as sinks
 from turnstone.sources import formats, frames
 
@@ -511,3 +511,20 @@ def test_absorption_of_many_regions():
     out = language.absorbed(regions, 8)
     assert time.process_time() - began < 10
     assert min(b - a for _, a, b in out) >= 8 and all(x[0] != y[0] and x[2] == y[1] for x, y in zip(out, out[1:]))
+
+
+def test_spans_are_sorted_once(spark):
+    """Runs and their parts from one sort, in tasks by the table's size; ends that are missing or out of order."""
+    rows = [("r", 1, 0.0, 9.0, "a"), ("r", 2, 1.0, 2.0, "a"), ("r", 3, 8.0, None, "a"), ("r", 4, 8.5, 10.0, "b"), ("r", 5, 20.0, 21.0, "b"), ("r", 6, 20.5, None, "a"), ("r", 7, 30.0, 31.0, "a"), ("r", 8, 40.0, 41.0, "a"), ("q", 1, 0.0, 1.0, None), ("q", 2, 0.5, 2.0, None)]
+    df = spark.createDataFrame(rows, "rec_id string, seq int, t0 double, t1 double, speaker string")
+    want = [("q", None, 0.0, 2.0, 2), ("r", "a", 0.0, 9.0, 3), ("r", "a", 20.5, 31.0, 2), ("r", "a", 40.0, 41.0, 1), ("r", "b", 8.5, 10.0, 1), ("r", "b", 20.0, 21.0, 1)]
+    for out in (diarize.merge_spans(df), diarize.turns(df, gap_s=2)):
+        assert sorted((tuple(r) for r in out.select("rec_id", "speaker", "t0", "t1", "n").collect()), key=repr) == sorted(want, key=repr)
+        assert len([x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if " Sort [" in x]) == 1
+
+
+def test_tasks_grow_with_the_table(spark, tmp_path):
+    spark.range(2_000_000).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    assert dealt(t, ["id"], mb=1).rdd.getNumPartitions() >= 7
+    assert dealt(t.limit(5), ["id"]).rdd.getNumPartitions() == 4

@@ -34,6 +34,12 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], b
     return df.withColumn(name, F.sum(flag).over(upto(keys, order)))
 
 
+def dealt(df: DataFrame, keys: Sequence[str], mb: int = 4) -> DataFrame:
+    """``df`` by its keys in as many tasks as its files have shares of ``mb``, at least the usual number: what a task holds doesn't grow with the table, only with its longest key. Tables of unknown size get the usual number."""
+    size, usual = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(usual, -(-size // (mb << 20)) if size < 1 << 50 else 0), *keys)
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], *, how: str = "inner", l0: str = "t0", l1: str = "t1", r0: str = "s0", r1: str = "s1", bucket_s: float | None = None) -> DataFrame:
     """Pairs of intervals that overlap. ``bucket_s``: length of time buckets that both sides are dealt to, for recordings too long for one task (inner joins); each pair comes out once, in the bucket where its overlap begins."""
     meet = (F.col(l0) < F.col(r1)) & (F.col(r0) < F.col(l1))
@@ -41,10 +47,10 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], *, how:
         other = right.withColumnsRenamed({k: f"r_{k}" for k in keys})
         return left.join(other, [F.col(k) == F.col(f"r_{k}") for k in keys] + [meet], how).drop(*[f"r_{k}" for k in keys])
 
-    def dealt(df: DataFrame, a: str, b: str) -> DataFrame:
+    def bucketed(df: DataFrame, a: str, b: str) -> DataFrame:
         return df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(a) / bucket_s), F.floor(F.col(b) / bucket_s))))
 
-    both = dealt(left, l0, l1).join(dealt(right, r0, r1), [*keys, "bucket"])
+    both = bucketed(left, l0, l1).join(bucketed(right, r0, r1), [*keys, "bucket"])
     return both.where(meet & (F.col("bucket") == F.floor(F.greatest(F.col(l0), F.col(r0)) / bucket_s))).drop("bucket")
 
 
@@ -84,8 +90,8 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold:
         if held:
             yield from ended()
 
-    dealt = df.repartition(*names) if parts is None else df.repartition(parts, *names)
-    return dealt.sortWithinPartitions(*names, *order).mapInPandas(run, schema)
+    by_key = df.repartition(*names) if parts is None else df.repartition(parts, *names)
+    return by_key.sortWithinPartitions(*names, *order).mapInPandas(run, schema)
 
 
 def ordered_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Callable[[dict[str, list]], list[tuple]], schema: str) -> DataFrame:

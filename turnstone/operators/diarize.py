@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions.columns import dot, unit
-from turnstone.operators.base import islands, ordered_fold, over, overlap_join, preceding
+from turnstone.operators.base import dealt, islands, ordered_fold, over, overlap_join, preceding
 
 UNKNOWN = "S?"
 JOIN_THRESHOLD, EMA_ALPHA, MIN_SEGMENT_MS, MIN_CLUSTER, STITCH_THRESHOLD = 0.3, 0.1, 500.0, 2, 0.35
@@ -213,13 +213,19 @@ def stitch(spans: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), threshold:
     return once.repartition(parts, *keys).groupBy(*keys).applyInPandas(fold, f"{kinds}, chunk int, local string, speaker string")
 
 
+def _runs(spans: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """Spans with the number of their run of one speaker, whether they begin one, and how far the run reached before them. All from one sort by key and order: runs are numbered in order, so the greatest (run, end) so far is this run's if it has one."""
+    w = dealt(spans, keys).withColumn("_p", F.lag("speaker").over(over(keys, order)))
+    w = w.withColumn("_new", ~F.col("speaker").eqNullSafe(F.col("_p")))
+    most = F.max(F.struct("_run", "t1")).over(preceding(keys, order))
+    return islands(w, keys, order, F.col("_new"), "_run").withColumn("_most", most).withColumn("_reach", F.when(F.col("_most._run") == F.col("_run"), F.col("_most.t1")))
+
+
 def merge_spans(spans: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), order: tuple[str, ...] = ("t0", "seq"), slack: float = 1e-3) -> DataFrame:
     """Spans in order; a span joins the one before it if the speaker is the same and it begins before that one's end."""
-    w = spans.withColumn("_p", F.lag("speaker").over(over(keys, order)))
-    runs = islands(w, keys, order, ~F.col("speaker").eqNullSafe(F.col("_p")), "_run")
-    reach = F.max("t1").over(preceding([*keys, "_run"], order))
-    parts = islands(runs.withColumn("_reach", reach), [*keys, "_run"], order, F.col("t0") > F.col("_reach") + slack, "_part")
-    return parts.groupBy(*keys, "_run", "_part").agg(F.first("speaker").alias("speaker"), F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.count(F.lit(1)).alias("n")).drop("_run", "_part")
+    far = F.coalesce(F.col("t0") > F.col("_reach") + slack, F.lit(False))
+    parts = islands(_runs(spans, keys, order), keys, order, F.col("_new") | far, "_part")
+    return parts.groupBy(*keys, "speaker", "_part").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.count(F.lit(1)).alias("n")).drop("_part")
 
 
 def slice_bounds(t0: Column, t1: Column, n: Column, sample_rate: int = 16_000) -> tuple[Column, Column]:
@@ -231,18 +237,16 @@ def slice_bounds(t0: Column, t1: Column, n: Column, sample_rate: int = 16_000) -
 def turns(words: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), order: tuple[str, ...] = ("t0", "seq"), gap_s: float | None = None, per_speaker: bool = False, text: str | None = None) -> DataFrame:
     """Words or spans joined to turns: neighbours of one speaker, at most ``gap_s`` apart (None: any gap). ``per_speaker`` looks at each speaker alone, over what others say between."""
     group = [*keys, "speaker"] if per_speaker else [*keys]
-    w = words.withColumns({"_p": F.lag("speaker").over(over(group, order)), "_reach": F.max("t1").over(preceding(group, order))})
-    if not per_speaker:
-        runs = islands(w, group, order, ~F.col("speaker").eqNullSafe(F.col("_p")), "_run")
-        w = runs.withColumn("_reach", F.max("t1").over(preceding([*group, "_run"], order)))
-        group = [*group, "_run"]
-    far = (F.col("t0") - F.col("_reach") > gap_s) if gap_s is not None else F.lit(False)
+    far = F.coalesce(F.col("t0") - F.col("_reach") > gap_s, F.lit(False)) if gap_s is not None else F.lit(False)
+    if per_speaker:
+        w = dealt(words, group).withColumn("_reach", F.max("t1").over(preceding(group, order)))
+    else:
+        w, far = _runs(words, keys, order), F.col("_new") | far
     parts = islands(w, group, order, far, "_part")
     out = [F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.count(F.lit(1)).alias("n")]
     if text is not None:
         out.append(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_w")))), lambda x: x["_w"]), " ").alias("text"))
-    drop = ["_part"] if per_speaker else ["_run", "_part"]
-    return parts.groupBy(*[g for g in group if g != "speaker"], "speaker", "_part").agg(*out).drop(*drop)
+    return parts.groupBy(*keys, "speaker", "_part").agg(*out).drop("_part")
 
 
 def dominant_speaker(segments: DataFrame, reference: DataFrame, *, keys: tuple[str, ...] = ("rec_id",), segment: str = "seg_id", bucket_s: float | None = None) -> DataFrame:
